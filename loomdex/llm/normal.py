@@ -5,7 +5,7 @@ folding (width forms, ligatures, presentation forms, other spaces, invisible cha
 as boundary context; only these segments are folded and composed, then spliced into the unchanged rest. (2) Letters that look alike across
 Latin, Cyrillic and Greek: a word is unstable if it has letters of another script than its own; its own script is that of its letters that have no
 double elsewhere, else that of the nearest word
-before it in its sentence which has such letters, else of the nearest after it in its sentence, else before that, else Latin. Both steps depend on looks only, so texts that look the
+before it in its sentence which has such letters, else of the nearest after it in its sentence, else before that, else of the text's first, else Latin. Both steps depend on looks only, so texts that look the
 same end in the same form. Case, accents, punctuation marks and the number and kind of ordinary blanks stay as they are.
 """
 
@@ -136,7 +136,7 @@ def _contexts(text: str, words: list[re.Match[str]], known: list[tuple[str, str]
     """The script of each word: its own, else the nearest earlier one of its sentence, else the nearest later one of it, else the one before it."""
     own = [s for _, s in known]
     begins = [i == 0 or bool(_PAUSE.search(text, words[i - 1].end(), w.start())) for i, w in enumerate(words)]
-    out, before, inside = list(own), "L", ""
+    out, before, inside = list(own), next((s for s in own if s), "L"), ""
     for i, s in enumerate(own):
         inside = "" if begins[i] else inside
         if s:
