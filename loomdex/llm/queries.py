@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p5_frequency, p6_distinctive
+from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p5_frequency, p6_distinctive, p9_sentences
 
-_MODULES = [p2_seen, p3_copies, p4_lookalike, p5_frequency, p6_distinctive]
+_MODULES = [p2_seen, p3_copies, p4_lookalike, p5_frequency, p6_distinctive, p9_sentences]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: f for m in _MODULES for k, f in m.SQL.items()}
