@@ -19,7 +19,7 @@ from loomdex.operators.analyse import document_frequencies, kept_tokens
 from loomdex.operators.ids import with_ids
 from loomdex.operators.index import SearchIndex, build_index
 from loomdex.plans.query import parse
-from loomdex.session import shared_dir, table
+from loomdex.session import shared_dir, spread, table
 from loomdex.sources.store import IndexStore
 
 
@@ -29,7 +29,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str, stemmed: bool = False, language: str = "mixed") -> SearchIndex:
-    return build_index(corpus(spark, sf_dir), language, stemmed)
+    return build_index(spread(corpus(spark, sf_dir)), language, stemmed)
 
 
 # text analysis

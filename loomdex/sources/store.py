@@ -21,7 +21,7 @@ from loomdex.operators.analyse import document_terms, postings
 from loomdex.operators.ids import with_ids
 from loomdex.operators.index import SearchIndex
 from loomdex.operators.lsm import over_budget
-from loomdex.session import cut
+from loomdex.session import cut, spread
 
 #: Bytes that level 0 may hold, and how many times as much each further level.
 LEVEL_BYTES, RATIO = 10 << 20, 4
@@ -146,9 +146,10 @@ class IndexStore:
 
     def _write(self, docs: DataFrame, seq: int, level: int) -> Segment:
         docs.write.parquet(f"{self.root}/documents/{seq}")
-        posts = postings(document_terms(docs, self.manifest.language, self.manifest.stemmed))
+        written = self._read("documents", [seq], _DOCUMENT)
+        posts = cut(postings(document_terms(spread(written), self.manifest.language, self.manifest.stemmed)))  # read twice, once to find the ranges
         posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/postings/{seq}")
-        return Segment(seq, level, self.files.size(f"postings/{seq}"), self.spark.read.parquet(f"{self.root}/documents/{seq}").count())
+        return Segment(seq, level, self.files.size(f"postings/{seq}"), written.count())
 
     def add(self, batch: DataFrame, order: list | None = None) -> None:
         """Adds documents (external_id, title, content), each replacing the live one of its external id.
