@@ -132,6 +132,11 @@ class IndexStore:
     def _seqs(self) -> list[int]:
         return [s.seq for s in self.manifest.segments if s.documents]
 
+    def _next_seq(self) -> int:
+        """A number no folder has, be it one that a crash has left unnamed."""
+        there = [int(n) for kind in ("documents", "postings", "removed") for n in self.files.names(kind) if n.isdigit()]
+        return max([self.manifest.next_seq, *(n + 1 for n in there)])
+
     def removed(self) -> DataFrame:
         return self._read("removed", self.manifest.removed, "doc_id long").distinct()
 
@@ -157,7 +162,7 @@ class IndexStore:
         `order` lists the columns by which a batch is ordered; each row takes the next id, and of rows with one external id the last stays.
         NULL external id, title or content is the empty text. An empty batch changes nothing.
         """
-        m = self.manifest
+        m, seq = self.manifest, self._next_seq()
         order = order or ["external_id", "title", "content"]
         clean = batch.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("external_id", "title", "content")], *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
         numbered = cut(with_ids(clean, [f"__o{i}" for i in range(len(order))], m.next_doc_id).select("doc_id", "external_id", "title", "content"))
@@ -167,28 +172,28 @@ class IndexStore:
         last = numbered.groupBy("external_id").agg(F.max("doc_id").alias("doc_id"))
         kept = numbered.join(last.select("doc_id"), "doc_id", "left_semi")
         old = self.documents().join(last.select("external_id"), "external_id", "left_semi").select("doc_id")
-        old.write.parquet(f"{self.root}/removed/{m.next_seq}")
-        segment = self._write(kept, m.next_seq, 0)
-        self._publish(replace(m, next_doc_id=m.next_doc_id + count, next_seq=m.next_seq + 1, segments=[*m.segments, segment], removed=[*m.removed, m.next_seq]))
+        old.write.parquet(f"{self.root}/removed/{seq}")
+        segment = self._write(kept, seq, 0)
+        self._publish(replace(m, next_doc_id=m.next_doc_id + count, next_seq=seq + 1, segments=[*m.segments, segment], removed=[*m.removed, seq]))
         self._compact_where_due()
 
     def remove(self, external_ids: DataFrame) -> None:
         """Removes the documents of the external ids (external_id); unknown ones are no error."""
-        m = self.manifest
+        m, seq = self.manifest, self._next_seq()
         gone = self.documents().join(external_ids.select("external_id"), "external_id", "left_semi").select("doc_id")
-        gone.write.parquet(f"{self.root}/removed/{m.next_seq}")
-        self._publish(replace(m, next_seq=m.next_seq + 1, removed=[*m.removed, m.next_seq]))
+        gone.write.parquet(f"{self.root}/removed/{seq}")
+        self._publish(replace(m, next_seq=seq + 1, removed=[*m.removed, seq]))
 
     def compact(self, level: int | None = None) -> None:
         """Rewrites the segments of a level, or all of them, as one of the next level, without removed documents."""
-        m = self.manifest
+        m, seq = self.manifest, self._next_seq()
         inside = [s for s in m.segments if level is None or s.level == level]
         if not inside:
             return
         docs = self._read("documents", [s.seq for s in inside if s.documents], _DOCUMENT).join(self.removed(), "doc_id", "left_anti")
-        segment = self._write(docs, m.next_seq, 1 + max(s.level for s in inside))
+        segment = self._write(docs, seq, 1 + max(s.level for s in inside))
         others = [s for s in m.segments if s not in inside]
-        self._publish(replace(m, next_seq=m.next_seq + 1, segments=[*others, segment], removed=m.removed if others else []))
+        self._publish(replace(m, next_seq=seq + 1, segments=[*others, segment], removed=m.removed if others else []))
 
     def _compact_where_due(self) -> None:
         while True:
