@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -27,8 +28,8 @@ _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ々ー]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 
 
-def _script(word: str) -> str:
-    ch = word[0]
+@lru_cache(maxsize=1 << 14)
+def _script(ch: str) -> str:
     if ch < "Ͱ" or "Ḁ" <= ch <= "ỿ":
         return "latin"
     if ch <= "Ͽ" or "ἀ" <= ch <= "῿":
@@ -48,24 +49,24 @@ def words(text: str) -> list[str]:
     Words of another script are names or loan words and are left out. Latin is the main script beside another one only with three words or
     more and half as many letters again as the other.
     """
-    found: dict[str, list[str]] = defaultdict(list)
-    size: dict[str, int] = defaultdict(int)
-    for m in _RUN.finditer(text.lower()):
-        for part in _parts(m[0]):
-            kind = _script(part)
-            size[kind] += len(part)
-            if kind in ("thai", "east"):
-                found[kind] += [part[i : i + 2] for i in range(max(1, len(part) - 1))]
-            else:
-                found[kind].append(part.strip("’'"))
+    text = text.lower()
+    runs = _RUN.findall(text)
+    if _DENSE.search(text):
+        runs = [part for run in runs for part in _parts(run)]
+    found: dict[str, list[str]] = {}
+    for run in runs:
+        found.setdefault(_script(run[0]), []).append(run)
     if not found:
         return []
-    others = [k for k in found if k != "latin"]
-    if others:
-        main = max(others, key=size.__getitem__)
-        if not ("latin" in found and len(found["latin"]) >= 3 and size["latin"] > 1.5 * sum(size[k] for k in others)):
-            return found[main]
-    return found["latin"]
+    main = "latin"
+    if len(found) > 1 or main not in found:
+        size = {k: sum(map(len, v)) for k, v in found.items()}
+        latin = size.pop("latin", 0)
+        if not (len(found.get("latin", ())) >= 3 and latin > 1.5 * sum(size.values())):
+            main = max(size, key=size.__getitem__)
+    if main in ("thai", "east"):
+        return [part[i : i + 2] for part in found[main] for i in range(max(1, len(part) - 1))]
+    return [w.strip("’'") for w in found[main]]
 
 
 def _parts(run: str) -> Iterable[str]:
@@ -185,17 +186,23 @@ def proportions(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float
     return share, now + float(top.sum())
 
 
+def price(units):
+    """What a further language must gain in a document of so many units."""
+    return PENALTY + PENALTY_UNITS * np.log(1 + units)
+
+
 def mixture(scores: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The document's set of languages, largest gain first, and its shares; units without evidence should be left out."""
     totals = scores.sum(axis=0)
     chosen = [int(totals.argmax())]
     best, shares = float(totals[chosen[0]]), np.ones(1)
-    price = PENALTY + PENALTY_UNITS * float(np.log(1 + len(scores)))
-    while len(chosen) < scores.shape[1]:
+    cost = price(len(scores))
+    bound = float(scores.max(axis=1).sum())  # no mixture gets above
+    while len(chosen) < scores.shape[1] and bound - best > cost:
         most = np.maximum(scores, scores[:, chosen].max(axis=1, keepdims=True)).sum(axis=0)  # no mixture with the further language gets above
-        gains = [(int(i), float(most[i])) for i in np.argsort(-most) if i not in chosen and most[i] - best > price]
+        gains = [(int(i), float(most[i])) for i in np.argsort(-most) if i not in chosen and most[i] - best > cost]
         step = max(((proportions(scores[:, [*chosen, i]]), i) for i, _ in gains[:4]), key=lambda x: x[0][1], default=None)
-        if step is None or step[0][1] - best <= price:
+        if step is None or step[0][1] - best <= cost:
             break
         (shares, best), i = step
         chosen.append(i)

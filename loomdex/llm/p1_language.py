@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.language import LanguageModel, fit, mixture, words
+from loomdex.llm.language import LanguageModel, fit, mixture, price, words
 from loomdex.llm.normal import normal_form
 from loomdex.llm.p3_copies import LEAST_PARTS
 from loomdex.llm.sentences import splitter
@@ -85,21 +85,38 @@ def train(samples: DataFrame, docs: DataFrame, codes: dict[str, str]) -> Languag
     return fit([*own, *more], langs)
 
 
-def infer(model: LanguageModel, found: list[tuple[str, int, int, list[str]]]) -> list[tuple[int, float]]:
-    """(language, confidence) of each unit, by the document's mixture. Units without words take the document's main language at confidence 0."""
-    scores = model.scores([u[3] for u in found])
-    told = np.array([bool(u[3]) for u in found])
-    if not told.any():
-        return [(-1, 0.0)] * len(found)
-    chosen, shares = mixture(scores[told])
-    weight = np.full(len(model.langs), np.log(1e-3))
-    weight[chosen] = np.log(np.maximum(shares, 1e-6))
+def infer(model: LanguageModel, docs: list[list[tuple[str, int, int, list[str]]]]) -> list[tuple[int, float]]:
+    """(language, confidence) of every unit of some documents, by each document's mixture.
+
+    Documents in which no further language could gain enough, whatever its share, are settled together; the others go through the mixture one
+    by one. Units without words take their document's main language at confidence 0; those of a document without any word have none (-1).
+    """
+    sizes = np.array([len(d) for d in docs])
+    first = np.cumsum(sizes) - sizes
+    scores = model.scores([u[3] for d in docs for u in d])
+    n = len(scores)
+    if not n:
+        return []
+    told = np.fromiter((bool(u[3]) for d in docs for u in d), bool, n)
+    full = np.flatnonzero(sizes)
+    doc = np.repeat(np.arange(len(full)), sizes[full])
+    totals = np.add.reduceat(scores, first[full], axis=0)
+    bound = np.add.reduceat(scores.max(axis=1), first[full])
+    many = bound - totals.max(axis=1) > price(np.add.reduceat(told, first[full], dtype=np.int64))
+    weight = np.full((n, len(model.langs)), np.log(1e-3))
+    own = totals.argmax(axis=1)[doc]
+    weight[np.arange(n), own] = 0.0
+    for k in np.flatnonzero(many):
+        at = slice(first[full[k]], first[full[k]] + sizes[full[k]])
+        chosen, shares = mixture(scores[at][told[at]])
+        weight[at] = np.log(1e-3)
+        weight[at, chosen] = np.log(np.maximum(shares, 1e-6))
+        own[at] = np.where(told[at], np.array(chosen)[(scores[at] + weight[at])[:, chosen].argmax(axis=1)], chosen[0])
     joint = scores + weight
-    top = joint.max(axis=1)
-    sure = np.exp(joint - top[:, None])
-    sure /= sure.sum(axis=1, keepdims=True)
-    own = [chosen[int(k)] for k in joint[:, chosen].argmax(axis=1)]
-    return [(own[i], float(sure[i, own[i]])) if told[i] else (chosen[0], 0.0) for i in range(len(found))]
+    sure = np.exp(joint - joint.max(axis=1, keepdims=True))
+    sure = sure[np.arange(n), own] / sure.sum(axis=1)
+    any_told = np.logical_or.reduceat(told, first[full])[doc]
+    return list(zip(np.where(any_told, own, -1).tolist(), np.where(told, sure, 0.0).tolist(), strict=True))
 
 
 _SEGMENTS = "doc_id long, part string, start_at int, end_at int, lang string, confidence double, named string"
@@ -109,11 +126,10 @@ def _label(model, codes: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, title, content, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                found = units(title, content)
-                for (part, a, b, _), (lang, sure) in zip(found, infer(own, found), strict=True):
-                    rows.append((doc, part, a, b, own.langs[lang] if lang >= 0 else None, sure, codes.get(label)))
+            ids, titles, contents, labels = (batch.column(i).to_pylist() for i in range(4))
+            found = [units(t, c) for t, c in zip(titles, contents, strict=True)]
+            heads = ((i, part, a, b, codes.get(label)) for i, label, us in zip(ids, labels, found, strict=True) for part, a, b, _ in us)
+            rows = [(i, part, a, b, own.langs[lang] if lang >= 0 else None, sure, named) for (i, part, a, b, named), (lang, sure) in zip(heads, infer(own, found), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "part", "start_at", "end_at", "lang", "confidence", "named"])

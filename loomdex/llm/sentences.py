@@ -35,7 +35,10 @@ _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _THAI = re.compile("(?<=[ก-ๅ็-๎])\\s+(?=[ก-๎])")
 _THAI_ANY = re.compile("[฀-๿]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_FULL_STOP = re.compile(r"([^\s\"“”„«»‹›(\[（「『]*[^\W_])\.(?=(\s*)(\S?))")
+_FULL_STOP = re.compile(r"(?<=[^\W_])\.(?=(\s*)(\S?))")
+_WORD_BEFORE = re.compile(r"[^\s\"“”„«»‹›(\[（「『]+\Z")
+#: Characters looked at before a full stop; no word of at most LONGEST letters has more.
+_REACH = 20
 _TERMINAL = re.compile(f"[{re.escape(_ENDS)}:：][\\s\"”’»›)\\]）」』】“]*\\Z")
 
 
@@ -54,8 +57,9 @@ def full_stops(text: str) -> Iterable[tuple[str, str]]:
     if _mode(text) != "mixed":
         return
     for m in _FULL_STOP.finditer(text):
-        token, gap, after = m.groups()
-        if sum(map(str.isalpha, token)) > LONGEST or not any(map(str.isalpha, token)):
+        gap, after = m.groups()
+        token = _WORD_BEFORE.search(text[max(0, m.start() - _REACH) : m.start()])[0]
+        if not 0 < sum(map(str.isalpha, token)) <= LONGEST or len(token) == _REACH:
             continue
         if not after or "\n\n" in gap:
             yield _key(token), "p"
