@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.sentences import abbreviations, full_stops, splitter
-from loomdex.session import spread, table
+from loomdex.session import cut, spread, table
 
 #: A word must hold this share of all full stops to enter the fallback, so there are at most 1 / SHARE words, however large the corpus.
 SHARE = 1 / 20_000
@@ -31,7 +31,7 @@ def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_abbreviations(texts: DataFrame) -> tuple[tuple[str, str], ...]:
     """(word, kind) from the full stops of a one-column DataFrame; at most 1 / SHARE of them reach the driver. Empty for an empty table."""
-    counts = texts.mapInArrow(_stops, "word string, l long, u long, p long").groupBy("word").agg(F.sum("l").alias("l"), F.sum("u").alias("u"), F.sum("p").alias("p"))
+    counts = cut(texts.mapInArrow(_stops, "word string, l long, u long, p long").groupBy("word").agg(F.sum("l").alias("l"), F.sum("u").alias("u"), F.sum("p").alias("p")))
     total = counts.select(F.lit(0).alias("one"), "l", "u", "p").groupBy("one").agg(F.sum("l").alias("l"), F.sum("u").alias("u"), F.sum("p").alias("p")).first()
     if total is None:
         return ()
