@@ -11,28 +11,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.operators.skew import skew_join
-from loomdex.session import cut, table
+from loomdex.session import cut, spread, table
 
 #: Marks that part the fields of a list, and that end a field's name. Fixed values of the format.
 PARTS, NAMED = r"[;|\r\n]+", r"^[^:=]*[\p{L}\p{N}][^:=]*[:=].*\S"
 #: Fewest parts of a field list.
 LEAST_PARTS = 3
 #: Characters dropped from a leaf: all but letters, marks and digits, and those letters and marks that can't be seen.
-DROPPED = r"[^\p{L}\p{M}\p{N}]|[\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]"
+DROPPED = r"[[^\p{L}\p{M}\p{N}][\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]]+"
 VISIBLE = r"[\p{L}\p{N}]"
 
 
 def leaf(text: Column) -> Column:
     """A leaf without letter case, blanks, punctuation and invisible characters. Upper case of ß is SS, that of ς is Σ."""
-    lower = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(text, "ẞ", "ß")), "ß", "ss"), "ς", "σ")
+    lower = F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(lower, DROPPED, "")
 
 
-def fields(title: Column, content: Column) -> Column:
-    """The record's fields: its title, then its content or, if that is a field list, each part of it."""
-    parts = F.filter(F.split(content, PARTS), lambda p: F.trim(p) != "")
-    listed = (F.size(parts) >= LEAST_PARTS) & F.forall(parts, lambda p: p.rlike(NAMED))
-    return F.concat(F.array(title), F.when(listed, parts).otherwise(F.array(content)))
+def parts(content: Column) -> Column:
+    """The non-blank stretches between the marks that part a field list."""
+    return F.filter(F.split(content, PARTS), lambda p: F.trim(p) != "")
+
+
+def fields(title: Column, content: Column, stretches: Column) -> Column:
+    """The record's fields: its title, then its content or, if that is a field list, each of its parts."""
+    listed = (F.size(stretches) >= LEAST_PARTS) & F.forall(stretches, lambda p: p.rlike(NAMED))
+    return F.concat(F.array(title), F.when(listed, stretches).otherwise(F.array(content)))
 
 
 def merkle(docs: DataFrame) -> DataFrame:
@@ -41,11 +45,13 @@ def merkle(docs: DataFrame) -> DataFrame:
     NULL title or content is an empty field, which is left out. Records without any letter or digit are left out whole.
     """
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    seen = docs.where(F.concat(title, content).rlike(VISIBLE)).select("doc_id", fields(title, content).alias("fields"))
-    leaves = F.filter(F.transform("fields", leaf), lambda x: x != "")
+    seen = spread(docs).where(F.concat(title, content).rlike(VISIBLE)).select("doc_id", title.alias("title"), content.alias("content"), parts(content).alias("parts"))
+    leaves = F.filter(F.transform(fields(F.col("title"), F.col("content"), F.col("parts")), leaf), lambda x: x != "")
     grown = seen.select("doc_id", leaves.alias("leaves"))
-    digests = F.array_sort(F.transform("leaves", lambda x: F.md5(x.cast("binary"))))
-    return grown.select("doc_id", F.unhex(F.md5(F.concat_ws("", digests).cast("binary"))).alias("root"), F.concat_ws("\x1f", F.array_sort("leaves")).alias("whole"))
+    digests = F.sort_array(F.transform("leaves", lambda x: F.md5(x.cast("binary"))))
+    # a root that can't be NULL needs no test for it, for which it would be computed once more
+    root = F.coalesce(F.unhex(F.md5(F.concat_ws("", digests).cast("binary"))), F.lit(b""))
+    return grown.select("doc_id", root.alias("root"), F.concat_ws("\x1f", F.sort_array("leaves")).alias("whole"))
 
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
