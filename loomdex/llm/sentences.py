@@ -33,6 +33,9 @@ _GLUED = re.compile(r"\A.*[^\W\d_]{3}\.(?=[^\W\d_])")
 _ITEM = re.compile(r"[ \t]*(?:([-*•·–—▪◦●○‣])|\(?(\d{1,3})[.)])[ \t]+(\S)")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _THAI = re.compile("(?<=[ก-ๅ็-๎])\\s+(?=[ก-๎])")
+#: A blank after Thai before three or more words of another script, which are no name within a statement.
+_THAI_OUT = re.compile("(?<=[ก-ๅ็-๎])\\s+(?=[\"«“„¿¡]?[A-Za-zÀ-ɏͰ-ϿЀ-ӿ][^\\s฀-๿]*(?:\\s+[^\\s฀-๿]+){2})")
+_THAI_TAIL, _THAI_HEAD = re.compile(r"[^฀-๿]+\Z"), re.compile(r"[^฀-๿]+")
 _THAI_ANY = re.compile("[฀-๿]")
 _WORDS = re.compile(r"[^\W\d_]+")
 _FULL_STOP = re.compile(r"(?<=[^\W_])\.(?=(\s*)(\S?))")
@@ -170,13 +173,21 @@ class Splitter:
             if prose:
                 soft = bool(_TERMINAL.search(line)) or small or len(line) + 1 + len(after.split(None, 1)[0]) > widest
             else:
-                soft = small or bool(_TERMINAL.search(line)) or (bool(_THAI_ANY.search(line)) and not (_THAI_ANY.match(after) and _THAI_ANY.match(line[-1])) and len(line) + 1 + len(after.split(None, 1)[0]) > widest)
+                soft = small or bool(_TERMINAL.search(line)) or self._thai_name(line, after)
             if not soft:
                 yield start, before
                 start = e
             before = f
         yield start, before
 
+    def _thai_name(self, line: str, after: str) -> bool:
+        """Whether a line break stands between Thai and a name or number, which belong together."""
+        if not (_THAI_ANY.search(line) and _THAI_ANY.search(after)):
+            return False
+        tail, head = _THAI_TAIL.search(line), _THAI_HEAD.match(after)
+        beside = tail or head
+        return bool(beside) and not (tail and head) and len(beside[0].split()) <= 2
+
     def _matched(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
         """Outermost matched quotations and brackets, as (opening, closing) places."""
         stack: list[tuple[str, int]] = []
@@ -235,7 +246,8 @@ class Splitter:
 
     def _thai(self, text: str, a: int, b: int, pairs: list[tuple[int, int]]) -> list[int]:
         """Spaces between Thai letters part statements, but not the words of a list that ends with the sign for "and so on"."""
-        cuts = [m.end() for m in _THAI.finditer(text, a, b) if not any(p < m.start() < q for p, q in pairs)]
+        found = sorted({m.end() for p in (_THAI, _THAI_OUT) for m in p.finditer(text, a, b)})
+        cuts = [c for c in found if not any(p < c - 1 < q for p, q in pairs)]
         kept: list[int] = []
         for cut in cuts:
             if text.startswith("ฯลฯ", cut):
@@ -296,7 +308,7 @@ class Splitter:
             if not nxt or kind == "n" or not (kind == "f" or word[-1:].isdigit() or (len(word) >= 3 and word.isalpha())):
                 return False, small
             if mode == "mixed":
-                return lead.isupper() and (not word[-1:].isdigit() or len(nxt[0]) > 1) or (lead.upper() == lead.lower() and len(nxt[0]) >= 3), small
+                return lead.isupper() and (not word[-1:].isdigit() or len(nxt[0]) > 1) or (lead.upper() == lead.lower() and len(nxt[0]) >= 2), small
             return len(nxt[0]) >= 3, small
         if mode == "mixed" and lead.islower():
             return False, small
