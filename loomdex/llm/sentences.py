@@ -333,11 +333,8 @@ class Splitter:
         return bool(nxt and len(nxt[0]) > 1 and nxt[0].lower() in small and doc.get(key) == "n" and self.corpus.get(key) != "n"), small
 
     def _kind(self, key: str, doc: dict[str, str]) -> str:
-        if key in _OFTEN_LAST:
-            return "f"
-        if key in _NEVER_LAST:
-            return "n"
-        return self.corpus.get(key) or doc.get(key, "")
+        """What the document says of a word, else the corpus, else the lists; empty if none knows it."""
+        return doc.get(key) or self.corpus.get(key) or ("f" if key in _OFTEN_LAST else "n" if key in _NEVER_LAST else "")
 
 
 @lru_cache(maxsize=4)

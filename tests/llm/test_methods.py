@@ -152,6 +152,16 @@ def test_corpus_abbreviations():
     assert found == {"prof": "n", "sea": "f", "fig": "n"}
 
 
+def split(text, *corpus):
+    return [text[a:b] for a, b in Splitter(*corpus).split(text)]
+
+
+def test_document_before_corpus_before_lists():
+    text = "The xyz. of old, the xyz. of now. Here xyz. Gudeju waits."
+    assert split(text, {"xyz": "f"}) == ["The xyz. of old, the xyz. of now.", "Here xyz. Gudeju waits."]
+    assert split("He ate a fig. Gudeju left.", {"fig": "f"}) == ["He ate a fig.", "Gudeju left."]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=60), st.integers(0, 5))
 def test_packing(sizes, seed):
