@@ -1,7 +1,7 @@
 """Problem 9: sentences of every text, in any of the languages and layouts (sentences.py has the rules).
 
-Two passes. The first gathers, over all documents, how full stops after short words go on; words whose full stop doesn't end a sentence are the
-corpus fallback. The second splits each document by its own evidence, then that fallback.
+Two passes. The first gathers, over all documents, how full stops after short words go on, and which words that stand after full stops are elsewhere
+mostly in small letters; words whose full stop doesn't end a sentence, and those common words, are the corpus fallback. The second splits each document by its own evidence, then that fallback.
 """
 
 from __future__ import annotations
@@ -13,36 +13,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.sentences import abbreviations, full_stops, splitter
+from loomdex.llm.sentences import abbreviations, full_stops, splitter, word_forms
 from loomdex.session import cut, spread, table
 
 #: A word must hold this share of all full stops to enter the fallback, so there are at most 1 / SHARE words, however large the corpus.
 SHARE = 1 / 20_000
 
 
-def _stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of full stops by the word before them (form false), and of the forms of words (form true)."""
     for batch in batches:
+        texts = [t or "" for t in batch.column(0).to_pylist()]
         seen: Counter[tuple[str, str]] = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(full_stops(text or ""))
-        words = sorted({w for w, _ in seen})
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), **{k: pa.array([seen[w, k] for w in words], pa.int64()) for k in "lup"}})
+        for text in texts:
+            seen.update(full_stops(text))
+        stops = sorted({w for w, _ in seen})
+        forms = word_forms(texts)
+        columns = [[seen[w, k] for w in stops] + [f[i] for f in forms.values()] for i, k in enumerate("lup")]
+        form = [False] * len(stops) + [True] * len(forms)
+        yield pa.RecordBatch.from_pydict({"form": pa.array(form, pa.bool_()), "word": pa.array([*stops, *forms], pa.string()), **{k: pa.array(c, pa.int64()) for k, c in zip("lup", columns, strict=True)}})
 
 
-def corpus_abbreviations(texts: DataFrame) -> tuple[tuple[str, str], ...]:
-    """(word, kind) from the full stops of a one-column DataFrame; at most 1 / SHARE of them reach the driver. Empty for an empty table."""
-    counts = cut(texts.mapInArrow(_stops, "word string, l long, u long, p long").groupBy("word").agg(F.sum("l").alias("l"), F.sum("u").alias("u"), F.sum("p").alias("p")))
-    total = counts.select(F.lit(0).alias("one"), "l", "u", "p").groupBy("one").agg(F.sum("l").alias("l"), F.sum("u").alias("u"), F.sum("p").alias("p")).first()
+def corpus_evidence(texts: DataFrame) -> tuple[tuple[tuple[str, str], ...], frozenset[str]]:
+    """What a one-column DataFrame tells of abbreviations, (word, kind), and words that it has mostly in small letters, but also after full stops.
+
+    At most 1 / SHARE abbreviations reach the driver, and common words as the languages have them. Empty for an empty table.
+    """
+    sums = [F.sum(k).alias(k) for k in "lup"]
+    found = cut(texts.mapInArrow(_counts, "form boolean, word string, l long, u long, p long").groupBy("form", "word").agg(*sums))
+    counts = found.where(~F.col("form"))
+    total = counts.select(F.lit(0).alias("one"), "l", "u", "p").groupBy("one").agg(*sums).first()
     if total is None:
-        return ()
+        return (), frozenset()
     kept = counts.where(F.col("l") + F.col("u") + F.col("p") >= max(1.0, SHARE * (total["l"] + total["u"] + total["p"]))).collect()
-    found = abbreviations(((r["word"], r["l"], r["u"], r["p"]) for r in kept), total["p"] / max(1, total["u"] + total["p"]))
-    return tuple(sorted(found.items()))
+    kinds = abbreviations(((r["word"], r["l"], r["u"], r["p"]) for r in kept), total["p"] / max(1, total["u"] + total["p"]))
+    common = found.where(F.col("form") & (F.col("p") > 0) & (F.col("l") > F.col("u"))).select("word").collect()
+    return tuple(sorted(kinds.items())), frozenset(r["word"] for r in common)
 
 
-def _split(corpus: tuple[tuple[str, str], ...]):
+def _split(corpus: tuple[tuple[str, str], ...], common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = splitter(corpus)
+        own = splitter(corpus, common)
         for batch in batches:
             ids, start, end = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -62,8 +73,8 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     length. Needs no shuffle beyond the small counts of the first pass.
     """
     docs = spread(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")))
-    corpus = corpus_abbreviations(docs.select("text"))
-    return docs.mapInArrow(_split(corpus), "doc_id long, start_at int, end_at int")
+    corpus, common = corpus_evidence(docs.select("text"))
+    return docs.mapInArrow(_split(corpus, common), "doc_id long, start_at int, end_at int")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Splitting a document into sentences, by evidence from the document itself with the corpus as fallback.
 
 A full stop after a word is ambiguous. Words whose full stop is followed by small letters, digits or commas elsewhere, and words that never end a
-paragraph, are abbreviations that don't end sentences; a capital letter after one counts only if the word it begins stands elsewhere in small letters, so
-isn't a proper name. Marks of scripts without that ambiguity end sentences wherever they stand outside quotations and brackets.
+paragraph, are abbreviations; a capital letter after one begins a sentence only if the word it begins stands elsewhere in small letters, so isn't a proper
+name: in the document, or in the corpus where the document is silent. Marks of scripts without that ambiguity end sentences wherever they stand outside quotations and brackets.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ _OPENERS = "“„«‹\"([（「『【¿¡‘'"
 _DASHES = "—–-―"
 # Abbreviations before a name or number, and abbreviations that often end a sentence.
 _NEVER_LAST = frozenset("mr mrs ms dr prof st no vs e.g i.e cf vol pp p fig figs tab approx p.m a.m г ул см ср с рис табл ок т т.е проф им вул р див обл nr vgl abb ca z.b z d.h d bzw s st.-  m mme mlle éd env h c.-à-d ud uds av n sr sra dra pág págs aprox κ δηλ βλ σ αρ π.χ π.μ μ.μ เลขที่ น डॉ पृ श्री ص د".split())
+_TITLES = frozenset("mr mrs ms dr prof mme mlle sr sra dra ул вул им проф κ".split())  # those before a name only
 _OFTEN_LAST = frozenset("etc usw u.s.w κ.λπ κλπ т.д т.п д п inc ltd co jr".split())
 _MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 #: Letters that an abbreviation has at most.
@@ -38,6 +39,9 @@ _THAI_OUT = re.compile("(?<=[ก-ๅ็-๎])\\s+(?=[\"«“„¿¡]?[A-Za-zÀ-
 _THAI_TAIL, _THAI_HEAD = re.compile(r"[^฀-๿]+\Z"), re.compile(r"[^฀-๿]+")
 _THAI_ANY = re.compile("[฀-๿]")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Words within a sentence, where a capital marks a name, and words after a full stop.
+_MID = re.compile(r" (?<=[\w,] )([^\W\d_]+)")
+_AFTER_STOP = re.compile(rf"\.(?<=[^\W_]\.)\s+[{re.escape(_OPENERS)}]*([^\W\d_]+)")
 _FULL_STOP = re.compile(r"(?<=[^\W_])\.(?=(\s*)(\S?))")
 _WORD_BEFORE = re.compile(r"[^\s\"“”„«»‹›(\[（「『]+\Z")
 #: Characters looked at before a full stop; no word of at most LONGEST letters has more.
@@ -73,6 +77,23 @@ def full_stops(text: str) -> Iterable[tuple[str, str]]:
             yield _key(token), "l" if after.islower() or after.isdigit() or after in ",;:" else "u"
 
 
+def word_forms(texts: Iterable[str]) -> dict[str, tuple[int, int, int]]:
+    """How often words of texts with both cases stand in small letters and with a capital within a sentence, and with a capital after a full stop."""
+    mid: Counter[str] = Counter()
+    after: Counter[str] = Counter()
+    for text in texts:
+        if _mode(text) == "mixed":
+            mid.update(_MID.findall(text))
+            after.update(_AFTER_STOP.findall(text))
+    out: dict[str, list[int]] = {}
+    for found, at in ((mid, 1), (after, 2)):
+        for word, n in found.items():
+            small = word.islower()
+            if not small or at == 1:
+                out.setdefault(word.lower(), [0, 0, 0])[0 if small else at] += n
+    return {w: (a, b, c) for w, (a, b, c) in out.items()}
+
+
 def abbreviations(counts: Iterable[tuple[str, int, int, int]], at_end: float) -> dict[str, str]:
     """From corpus counts (word, l, u, p): words whose full stop doesn't end a sentence ('n'), and short words whose does ('f').
 
@@ -92,10 +113,10 @@ def abbreviations(counts: Iterable[tuple[str, int, int, int]], at_end: float) ->
 
 
 class Splitter:
-    """Splits texts, given what the corpus says about abbreviations."""
+    """Splits texts, given what the corpus says about abbreviations, and the words that it has mostly in small letters."""
 
-    def __init__(self, corpus: dict[str, str] | None = None):
-        self.corpus = corpus or {}
+    def __init__(self, corpus: dict[str, str] | None = None, common: frozenset[str] = frozenset()):
+        self.corpus, self.common = corpus or {}, common
 
     def split(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of each sentence, in code points; together they hold every non-blank character. None for NULL or blank texts."""
@@ -211,7 +232,7 @@ class Splitter:
                 outer.append(p)
         return outer
 
-    def _cuts(self, text: str, a: int, b: int, mode: str, doc: dict[str, str], small: frozenset[str] | None) -> tuple[list[int], frozenset[str] | None]:
+    def _cuts(self, text: str, a: int, b: int, mode: str, doc: dict[str, str], small: dict[str, int] | None) -> tuple[list[int], dict[str, int] | None]:
         """Places in text[a:b] where a new sentence begins."""
         item = _ITEM.match(text, a, b)
         if item and not _TERMINAL.search(text[a:b].rstrip()):
@@ -269,7 +290,7 @@ class Splitter:
         cased = inner.upper() != inner.lower() or any(ch.upper() != ch.lower() for ch in text[max(0, at - 12) : at])
         return cased and first.isupper()
 
-    def _ends_here(self, text: str, a: int, s: int, e: int, at: int, b: int, mode: str, doc: dict[str, str], small: frozenset[str] | None) -> tuple[bool, frozenset[str] | None]:
+    def _ends_here(self, text: str, a: int, s: int, e: int, at: int, b: int, mode: str, doc: dict[str, str], small: dict[str, int] | None) -> tuple[bool, dict[str, int] | None]:
         marks = text[s:e]
         rest = text[at:b]
         after = rest.lstrip()
@@ -324,13 +345,18 @@ class Splitter:
                 return False, small
         if kind != "n":
             return True, small
-        if mode != "mixed" or lead.isdigit() or key in _NEVER_LAST:
+        if mode != "mixed" or lead.isdigit() or key in _TITLES:
             return False, small
         # an abbreviation before a capital: a new sentence only if the word that follows is known in small letters
         if small is None:
-            small = frozenset(w for w in _WORDS.findall(text) if w.islower())
-        nxt = _WORDS.match(after.lstrip(_OPENERS))
-        return bool(nxt and len(nxt[0]) > 1 and nxt[0].lower() in small and doc.get(key) == "n" and self.corpus.get(key) != "n"), small
+            small = Counter(w for w in _WORDS.findall(text) if w.islower())
+            small.subtract(w.lower() for w in _MID.findall(text) if not w.islower())
+        rest = after.lstrip(_OPENERS)
+        nxt = _WORDS.match(rest)
+        if not nxt or len(nxt[0]) == 1 or rest.startswith(".", nxt.end()) and self._kind(nxt[0].lower(), doc) == "n":
+            return False, small
+        known = small.get(nxt[0].lower(), 0)
+        return known > 0 or known == 0 and nxt[0].lower() in self.common, small
 
     def _kind(self, key: str, doc: dict[str, str]) -> str:
         """What the document says of a word, else the corpus, else the lists; empty if none knows it."""
@@ -338,5 +364,5 @@ class Splitter:
 
 
 @lru_cache(maxsize=4)
-def splitter(corpus: tuple[tuple[str, str], ...] = ()) -> Splitter:
-    return Splitter(dict(corpus))
+def splitter(corpus: tuple[tuple[str, str], ...] = (), common: frozenset[str] = frozenset()) -> Splitter:
+    return Splitter(dict(corpus), common)

@@ -162,6 +162,14 @@ def test_document_before_corpus_before_lists():
     assert split("He ate a fig. Gudeju left.", {"fig": "f"}) == ["He ate a fig.", "Gudeju left."]
 
 
+@pytest.mark.parametrize("corpus", [{}, {"no": "n", "г": "n", "fig": "n"}])
+def test_sentences_that_end_with_abbreviations(corpus):
+    assert split("She said no. Then they left, and then they slept.", corpus) == ["She said no.", "Then they left, and then they slept."]
+    assert split("Это было в 1951 г. Он родился там.", corpus, frozenset({"он"})) == ["Это было в 1951 г.", "Он родился там."]
+    assert len(split("The baker met Mr. Baker by no. Gudeju, cf. Fig. 3 or fig. 4.", corpus)) == 1
+    assert len(split("A rose by no. Rose and Rose, Rose there.", corpus, frozenset({"rose"}))) == 1  # mostly a name in this document
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=60), st.integers(0, 5))
 def test_packing(sizes, seed):
