@@ -1,7 +1,7 @@
 """Splitting a document into sentences, by evidence from the document itself with the corpus as fallback.
 
-A full stop after a word is ambiguous. Words whose full stop is followed by small letters, digits or commas elsewhere, and words that never end a
-paragraph, are abbreviations; a capital letter after one begins a sentence only if the word it begins stands elsewhere in small letters, so isn't a proper
+A full stop after a word is ambiguous. Words whose full stop is followed by small letters, digits or commas elsewhere, and words that hardly
+ever end a paragraph, are abbreviations; a capital letter after one begins a sentence only if the word it begins stands elsewhere in small letters, so isn't a proper
 name: in the document, or in the corpus where the document is silent. Marks of scripts without that ambiguity end sentences wherever they stand outside quotations and brackets.
 """
 
@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
+from math import exp, lgamma, log, log1p
 
 # Marks that end sentences, marks that close and open quotations and brackets, and their pairs.
 _ENDS = ".!?…。！？｡؟۔।॥;;"
@@ -25,6 +26,8 @@ _OFTEN_LAST = frozenset("etc usw u.s.w κ.λπ κλπ т.д т.п д п inc ltd
 _MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 #: Letters that an abbreviation has at most.
 LONGEST = 6
+#: Least probability of so few paragraph ends, and the share of the usual ones from which a word's are few and are as usual.
+CHANCE, FEW, USUAL = 0.001, 0.1, 0.5
 
 _END = re.compile(f"[{re.escape(_ENDS)}]+")
 _QUOTES = re.compile('["“”„«»‹›()\\[\\]（）「」『』【】〈〉《》‘]')
@@ -97,21 +100,35 @@ def word_forms(texts: Iterable[str]) -> dict[str, tuple[int, int, int]]:
 def abbreviations(counts: Iterable[tuple[str, int, int, int]], at_end: float) -> dict[str, str]:
     """From corpus counts (word, l, u, p): words whose full stop doesn't end a sentence ('n'), and short words whose does ('f').
 
-    `at_end`: the share of paragraph ends among all full stops that may end a sentence. A word that comes before capitals so often that
-    never ending a paragraph has a probability below one in a thousand is an abbreviation.
+    `at_end`: the share of paragraph ends among all full stops that may end a sentence. A word that comes before capitals often, and ends
+    paragraphs at a tenth of that rate at most and so seldom as has a probability below one in a thousand, is an abbreviation. A word that ends
+    them at half that rate or more isn't. Both are rates, so a few stray ends decide nothing in a large corpus.
     """
     out = {}
     for word, low, up, end in counts:
-        n = low + up + end
+        n, usual = low + up + end, at_end * (up + end)
         if low >= 3 and low >= 0.5 * n:
             out[word] = "n"
-        elif not end and up and (1 - at_end) ** up < 0.001:
+        elif up and end <= FEW * usual and _at_most(end, up + end, at_end) < CHANCE:
             out[word] = "n"
-        elif n >= 5 and end:
+        elif n >= 5 and end and end >= USUAL * usual:
             out[word] = "f"
     return out
 
 
+def _at_most(k: int, n: int, p: float) -> float:
+    """Probability of at most k hits in n trials at chance p, for k below n * p."""
+    if not 0 < p < 1:
+        return float(p <= 0)
+    term = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p)
+    total, last = 0.0, exp(term)
+    while k >= 0 and last > total * 1e-12:
+        total += last
+        last *= k * (1 - p) / ((n - k + 1) * p)
+        k -= 1
+    return total
+
+
 class Splitter:
     """Splits texts, given what the corpus says about abbreviations, and the words that it has mostly in small letters."""
 

@@ -152,6 +152,13 @@ def test_corpus_abbreviations():
     assert found == {"prof": "n", "sea": "f", "fig": "n"}
 
 
+@pytest.mark.parametrize("size", [1, 10, 1000, 100_000])
+def test_abbreviations_at_every_size(size):
+    words_ = [("capt", 0, 999 * size, size), ("sea", 0, 860 * size, 140 * size), ("wise", 0, 900 * size, 100 * size), ("fig", 300 * size, 10 * size, 2 * size)]
+    assert abbreviations(words_, 0.15) == {"capt": "n", "sea": "f", "wise": "f", "fig": "n"}
+    assert abbreviations([("st", 0, 970 * size, 30 * size)], 0.15) == {}
+
+
 def split(text, *corpus):
     return [text[a:b] for a, b in Splitter(*corpus).split(text)]
 
