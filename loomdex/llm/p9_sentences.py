@@ -13,13 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.sentences import abbreviations, full_stops, splitter, word_forms
+from loomdex.llm.sentences import Splitter, abbreviations, full_stops, word_forms
 from loomdex.session import cut, spread, table
 
-#: A word must hold this share of all full stops to enter the fallback, so there are at most 1 / SHARE words, however large the corpus.
-SHARE = 1 / 20_000
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of full stops by the word before them (form false), and of the forms of words (form true)."""
     for batch in batches:
@@ -34,26 +30,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"form": pa.array(form, pa.bool_()), "word": pa.array([*stops, *forms], pa.string()), **{k: pa.array(c, pa.int64()) for k, c in zip("lup", columns, strict=True)}})
 
 
-def corpus_evidence(texts: DataFrame) -> tuple[tuple[tuple[str, str], ...], frozenset[str]]:
-    """What a one-column DataFrame tells of abbreviations, (word, kind), and words that it has mostly in small letters, but also after full stops.
+def _decide(at_end: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = abbreviations(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True), at_end)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(list(kinds), pa.string()), "kind": pa.array(list(kinds.values()), pa.string())})
+
+    return run
+
+
+def corpus_evidence(texts: DataFrame) -> tuple[dict[str, str], frozenset[str]]:
+    """What a one-column DataFrame tells of abbreviations, as word and kind, and words that it has mostly in small letters, but also after full stops.
 
-    At most 1 / SHARE abbreviations reach the driver, and common words as the languages have them. Empty for an empty table.
+    All counts are decided on where they are; only decided short words and common words reach the driver, as many as the languages have. Empty for an
+    empty table.
     """
     sums = [F.sum(k).alias(k) for k in "lup"]
     found = cut(texts.mapInArrow(_counts, "form boolean, word string, l long, u long, p long").groupBy("form", "word").agg(*sums))
-    counts = found.where(~F.col("form"))
-    total = counts.select(F.lit(0).alias("one"), "l", "u", "p").groupBy("one").agg(*sums).first()
-    if total is None:
-        return (), frozenset()
-    kept = counts.where(F.col("l") + F.col("u") + F.col("p") >= max(1.0, SHARE * (total["l"] + total["u"] + total["p"]))).collect()
-    kinds = abbreviations(((r["word"], r["l"], r["u"], r["p"]) for r in kept), total["p"] / max(1, total["u"] + total["p"]))
+    counts = found.where(~F.col("form")).select("word", "l", "u", "p")
+    total = counts.agg(*sums).first()
+    if total["l"] is None:
+        return {}, frozenset()
+    kinds = counts.mapInArrow(_decide(total["p"] / max(1, total["u"] + total["p"])), "word string, kind string").collect()
     common = found.where(F.col("form") & (F.col("p") > 0) & (F.col("l") > F.col("u"))).select("word").collect()
-    return tuple(sorted(kinds.items())), frozenset(r["word"] for r in common)
+    return {r["word"]: r["kind"] for r in kinds}, frozenset(r["word"] for r in common)
 
 
-def _split(corpus: tuple[tuple[str, str], ...], common: frozenset[str]):
+def _split(evidence):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = splitter(corpus, common)
+        own = Splitter(*evidence.value)
         for batch in batches:
             ids, start, end = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -73,8 +78,8 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     length. Needs no shuffle beyond the small counts of the first pass.
     """
     docs = spread(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")))
-    corpus, common = corpus_evidence(docs.select("text"))
-    return docs.mapInArrow(_split(corpus, common), "doc_id long, start_at int, end_at int")
+    evidence = docs.sparkSession.sparkContext.broadcast(corpus_evidence(docs.select("text")))
+    return docs.mapInArrow(_split(evidence), "doc_id long, start_at int, end_at int")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,21 +365,25 @@ class Splitter:
         if mode != "mixed" or lead.isdigit() or key in _TITLES:
             return False, small
         # an abbreviation before a capital: a new sentence only if the word that follows is known in small letters
-        if small is None:
-            small = Counter(w for w in _WORDS.findall(text) if w.islower())
-            small.subtract(w.lower() for w in _MID.findall(text) if not w.islower())
         rest = after.lstrip(_OPENERS)
         nxt = _WORDS.match(rest)
         if not nxt or len(nxt[0]) == 1 or rest.startswith(".", nxt.end()) and self._kind(nxt[0].lower(), doc) == "n":
             return False, small
-        known = small.get(nxt[0].lower(), 0)
-        return known > 0 or known == 0 and nxt[0].lower() in self.common, small
+        low = nxt[0].lower()
+        if low not in self.common and low not in text:
+            return False, small
+        if small is None:
+            small = Counter(w for w in _WORDS.findall(text) if w.islower())
+            small.subtract(w.lower() for w in _MID.findall(text) if not w.islower())
+        known = small.get(low, 0)
+        return known > 0 or known == 0 and low in self.common, small
 
     def _kind(self, key: str, doc: dict[str, str]) -> str:
         """What the document says of a word, else the corpus, else the lists; empty if none knows it."""
         return doc.get(key) or self.corpus.get(key) or ("f" if key in _OFTEN_LAST else "n" if key in _NEVER_LAST else "")
 
 
-@lru_cache(maxsize=4)
-def splitter(corpus: tuple[tuple[str, str], ...] = (), common: frozenset[str] = frozenset()) -> Splitter:
-    return Splitter(dict(corpus), common)
+@lru_cache(maxsize=1)
+def splitter() -> Splitter:
+    """The splitter without a corpus."""
+    return Splitter()

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomdex.llm import p2_seen, p3_copies, p4_lookalike
+from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p9_sentences
 from loomdex.llm.counters import last_seen
 from loomdex.llm.cube import flight, landing
 from loomdex.llm.golomb import GolombSet, GrowingGolombSet
@@ -177,6 +177,12 @@ def test_sentences_that_end_with_abbreviations(corpus):
     assert len(split("A rose by no. Rose and Rose, Rose there.", corpus, frozenset({"rose"}))) == 1  # mostly a name in this document
 
 
+def test_rare_abbreviation_of_a_large_corpus(spark):
+    rows = [(1, "The goose. " * 100_000), (2, "One xyz. of it, an xyz. of us, the xyz. of now."), (3, "Here xyz. Gudeju waits.")]
+    got = p9_sentences.sentences(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {1: 100_000, 2: 1, 3: 1}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=60), st.integers(0, 5))
 def test_packing(sizes, seed):
