@@ -14,8 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from loomdex.llm.normal import shared_shapes
+
 #: Longest n-gram; log of the least share that a word gives any language, if it is known from training and if not.
 ORDER, KNOWN_FLOOR, UNKNOWN_FLOOR = 4, -7.0, -2.5
+#: What a unit of two letters or more says at least against a language of other scripts, enough to pay for a further one in a document of 10 million units.
+OTHER_SCRIPT = -45.0
+#: Share of a script's training words from which a language is written in it.
+OWN_SCRIPT = 0.02
 #: Characters that the base distribution spreads over.
 ALPHABET = 4096
 #: What a further language must gain: a constant and a share per log of the number of units.
@@ -49,6 +55,13 @@ def words(text: str) -> list[str]:
     Words of another script are names or loan words and are left out. Latin is the main script beside another one only with three words or
     more and half as many letters again as the other.
     """
+    return main_words(text)[0]
+
+
+def main_words(text: str) -> tuple[list[str], bool]:
+    """The words of a text's main script, and whether the text is in that script as a whole: no other script occurs, or Latin is the main
+    one, and not all letters have doubles in another script."""
+    shared = shared_shapes(text)
     text = text.lower()
     runs = _RUN.findall(text)
     if _DENSE.search(text):
@@ -57,7 +70,7 @@ def words(text: str) -> list[str]:
     for run in runs:
         found.setdefault(_script(run[0]), []).append(run)
     if not found:
-        return []
+        return [], False
     main = "latin"
     if len(found) > 1 or main not in found:
         size = {k: sum(map(len, v)) for k, v in found.items()}
@@ -65,8 +78,9 @@ def words(text: str) -> list[str]:
         if not (len(found.get("latin", ())) >= 3 and latin > 1.5 * sum(size.values())):
             main = max(size, key=size.__getitem__)
     if main in ("thai", "east"):
-        return [part[i : i + 2] for part in found[main] for i in range(max(1, len(part) - 1))]
-    return [w.strip("’'") for w in found[main]]
+        return [part[i : i + 2] for part in found[main] for i in range(max(1, len(part) - 1))], len(found) == 1
+    whole = not shared and (len(found) == 1 or main == "latin")
+    return [w.strip("’'") for w in found[main]], whole
 
 
 def _parts(run: str) -> Iterable[str]:
@@ -84,19 +98,21 @@ def _parts(run: str) -> Iterable[str]:
 class LanguageModel:
     """Log-likelihoods of words in each language."""
 
-    def __init__(self, langs: list[str], grams: dict[str, np.ndarray], known: frozenset[str]):
-        self.langs, self.grams, self.known = langs, grams, known
+    def __init__(self, langs: list[str], grams: dict[str, np.ndarray], known: frozenset[str], scripts: dict[str, np.ndarray]):
+        self.langs, self.grams, self.known, self.scripts = langs, grams, known, scripts
         self.memory: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(langs)))
+        self.rows = np.zeros((1024, 2 * len(langs)))
+        self.script_at = {script: i for i, script in enumerate(scripts, 1)}
+        self.uses = np.array([np.ones(len(langs), bool), *scripts.values()])  # any other script excludes no language
 
     def __getstate__(self):
-        return self.langs, self.grams, self.known
+        return self.langs, self.grams, self.known, self.scripts
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word relative to its best language, bounded from below, so that no word alone settles a unit."""
+        """Log-likelihood of a word relative to its best language: bounded from below, so that no word alone settles a unit, then without bound."""
         total = np.zeros(len(self.langs))
         padded = f" {word} "
         for i in range(1, len(padded)):
@@ -105,7 +121,8 @@ class LanguageModel:
                 if v is not None:
                     total += v
                     break
-        return np.logaddexp(total - total.max(), KNOWN_FLOOR if word in self.known else UNKNOWN_FLOOR)
+        total -= total.max()
+        return np.concatenate([np.logaddexp(total, KNOWN_FLOOR if word in self.known else UNKNOWN_FLOOR), total])
 
     def _row(self, word: str) -> int:
         """Where the word's scores are remembered."""
@@ -117,16 +134,27 @@ class LanguageModel:
             self.rows[at] = self.word(word)
         return at
 
-    def scores(self, units: list[list[str]]) -> np.ndarray:
-        """One row of log-likelihoods per unit; zeros for a unit without words."""
+    def scores(self, units: list[list[str]], whole: list[bool] | None = None) -> np.ndarray:
+        """One row of log-likelihoods per unit; zeros for a unit without words.
+
+        In a unit that is of one script as a whole (all are, if not told), a language of other scripts has its likelihood without bound.
+        """
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
-        out = np.zeros((len(units), len(self.langs)))
+        k = len(self.langs)
+        out = np.zeros((len(units), k))
         at = [self._row(w) for unit in units for w in unit]
         if at:
             sizes = np.array([len(u) for u in units])
             full = np.flatnonzero(sizes)
-            out[full] = np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+            sums = np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+            bounded, free = sums[:, :k], sums[:, k:]
+            one = np.ones(len(full), bool) if whole is None else np.array(whole)[full]
+            heads = [units[i][0] for i in full]
+            used = self.uses[[self.script_at.get(_script(h[0]), 0) if h else 0 for h in heads]]
+            letters = (sizes[full] > 1) | np.fromiter((len(h) > 1 for h in heads), bool, len(heads))
+            least = np.where(letters, OTHER_SCRIPT, 0.0)[:, None]
+            out[full] = np.where(one[:, None] & ~used, np.minimum(free, least), bounded)
         return out
 
 
@@ -136,12 +164,15 @@ def fit(samples: Iterable[tuple[str, str]], langs: list[str]) -> LanguageModel:
     kinds = [defaultdict(set) for _ in langs]
     at = {x: i for i, x in enumerate(langs)}
     known: set[str] = set()
+    written: dict[str, np.ndarray] = {}
     for lang, text in samples:
         if lang not in at:
             continue
         count, kind = counts[at[lang]], kinds[at[lang]]
         for word in words(text):
             known.add(word)
+            if word:
+                written.setdefault(_script(word[0]), np.zeros(len(langs)))[at[lang]] += 1
             padded = f" {word} "
             for i in range(1, len(padded)):
                 for k in range(1, min(ORDER, i + 1) + 1):
@@ -164,7 +195,9 @@ def fit(samples: Iterable[tuple[str, str]], langs: list[str]) -> LanguageModel:
             own[i] = (counts[i].get(gram, 0) + max(t, 1) * lower[i]) / (n + max(t, 1))
         p[gram] = own
         grams[gram] = np.log(own).astype(np.float32)
-    return LanguageModel(langs, grams, frozenset(known))
+    least = OWN_SCRIPT * sum(written.values())
+    scripts = {k: (n > 0) & (n >= least) for k, n in written.items()}
+    return LanguageModel(langs, grams, frozenset(known), {k: own for k, own in scripts.items() if own.any()})
 
 
 def proportions(scores: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:

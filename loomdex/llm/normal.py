@@ -94,6 +94,7 @@ def _tables() -> _Tables:
 _DOUBLES = {"C": dict(zip(_LATIN_C, _CYRILLIC, strict=True)), "G": dict(zip(_LATIN_G, _GREEK, strict=True)), "L": {}}
 _TO_LATIN = {**dict(zip(_CYRILLIC, _LATIN_C, strict=True)), **dict(zip(_GREEK, _LATIN_G, strict=True))}
 _AMBIGUOUS = frozenset(_LATIN_C + _LATIN_G)
+_SHARED = _AMBIGUOUS | frozenset(_CYRILLIC + _GREEK)
 _SKELETON = str.maketrans(_TO_LATIN)
 _LATIN, _CYR, _GRE = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "Ѐ-ԯ", "Ͱ-Ͽἀ-῿"
 _WORD = re.compile(f"[{_LATIN}{_CYR}{_GRE}][{_LATIN}{_CYR}{_GRE}̀-ͯ]*")
@@ -166,6 +167,11 @@ def _one_script(text: str) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
+def shared_shapes(text: str) -> bool:
+    """Whether every letter of a text in normal form has a double of its shape in another script, accents aside."""
+    return all(unicodedata.normalize("NFD", ch)[0] in _SHARED for ch in text if ch.isalpha())
+
+
 def normal_form(text: str | None) -> str:
     """The form in which texts that look the same are equal; NULL gives the empty text. Applying it again changes nothing."""
     if not text or _PLAIN_ASCII.match(text):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.language import LanguageModel, fit, mixture, price, words
+from loomdex.llm.language import LanguageModel, fit, main_words, mixture, price
 from loomdex.llm.normal import normal_form
 from loomdex.llm.p3_copies import LEAST_PARTS
 from loomdex.llm.sentences import splitter
@@ -38,17 +38,17 @@ def field_names(content: str) -> str | None:
     return " ".join(m[1].strip() for m in named) if all(named) else None
 
 
-def units(title: str | None, content: str | None) -> list[tuple[str, int, int, list[str]]]:
-    """(part, start, end, words) of a document's units; offsets in code points of the part as it is. Blank units are left out."""
+def units(title: str | None, content: str | None) -> list[tuple[str, int, int, list[str], bool]]:
+    """(part, start, end, words, whether of one script) of a document's units; offsets in code points of the part as it is. Blank units are left out."""
     out = []
     if title and title.strip():
-        out.append(("title", 0, len(title), words(normal_form(title))))
+        out.append(("title", 0, len(title), *main_words(normal_form(title))))
     if content and content.strip():
         names = field_names(content)
         if names is not None:
-            out.append(("content", 0, len(content), words(normal_form(names))))
+            out.append(("content", 0, len(content), *main_words(normal_form(names))))
         else:
-            out += [("content", a, b, words(normal_form(content[a:b]))) for a, b in splitter().split(content)]
+            out += [("content", a, b, *main_words(normal_form(content[a:b]))) for a, b in splitter().split(content)]
     return out
 
 
@@ -72,11 +72,11 @@ def train(samples: DataFrame, docs: DataFrame, codes: dict[str, str]) -> Languag
             continue
         i = first.langs.index(lang)
         found = units(r["title"], r["content"])
-        scores = first.scores([u[3] for u in found])
+        scores = first.scores([u[3] for u in found], [u[4] for u in found])
         mostly = scores.sum(axis=0).argmax() == i if found else False
         sure = [bool(u[3]) and mostly and scores[k].max() - scores[k][i] < SLACK for k, u in enumerate(found)]
         listed = field_names(r["content"] or "") is not None
-        for k, (part, a, b, _) in enumerate(found):
+        for k, (part, a, b, *_) in enumerate(found):
             if listed and part == "content":
                 if len(found) == 2 and sure[0]:
                     more.append((lang, normal_form(field_names(r["content"]) or "")))
@@ -85,7 +85,7 @@ def train(samples: DataFrame, docs: DataFrame, codes: dict[str, str]) -> Languag
     return fit([*own, *more], langs)
 
 
-def infer(model: LanguageModel, docs: list[list[tuple[str, int, int, list[str]]]]) -> list[tuple[int, float]]:
+def infer(model: LanguageModel, docs: list[list[tuple[str, int, int, list[str], bool]]]) -> list[tuple[int, float]]:
     """(language, confidence) of every unit of some documents, by each document's mixture.
 
     Documents in which no further language could gain enough, whatever its share, are settled together; the others go through the mixture one
@@ -93,7 +93,7 @@ def infer(model: LanguageModel, docs: list[list[tuple[str, int, int, list[str]]]
     """
     sizes = np.array([len(d) for d in docs])
     first = np.cumsum(sizes) - sizes
-    scores = model.scores([u[3] for d in docs for u in d])
+    scores = model.scores([u[3] for d in docs for u in d], [u[4] for d in docs for u in d])
     n = len(scores)
     if not n:
         return []
@@ -128,7 +128,7 @@ def _label(model, codes: dict[str, str]):
         for batch in batches:
             ids, titles, contents, labels = (batch.column(i).to_pylist() for i in range(4))
             found = [units(t, c) for t, c in zip(titles, contents, strict=True)]
-            heads = ((i, part, a, b, codes.get(label)) for i, label, us in zip(ids, labels, found, strict=True) for part, a, b, _ in us)
+            heads = ((i, part, a, b, codes.get(label)) for i, label, us in zip(ids, labels, found, strict=True) for part, a, b, *_ in us)
             rows = [(i, part, a, b, own.langs[lang] if lang >= 0 else None, sure, named) for (i, part, a, b, named), (lang, sure) in zip(heads, infer(own, found), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]

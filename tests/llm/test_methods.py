@@ -12,7 +12,7 @@ from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p9_sentences
 from loomdex.llm.counters import last_seen
 from loomdex.llm.cube import flight, landing
 from loomdex.llm.golomb import GolombSet, GrowingGolombSet
-from loomdex.llm.language import fit, mixture, words
+from loomdex.llm.language import fit, main_words, mixture, words
 from loomdex.llm.normal import normal_form
 from loomdex.llm.p8_mixture import balanced_sample, plan
 from loomdex.llm.packing import pack
@@ -117,6 +117,18 @@ def test_language_held_out(spark, data):
     assert len(mixture(model.scores([words(t) for t in by["de"]]))[0]) == 1
 
 
+@pytest.mark.parametrize("units", [3, 100, 1000])
+def test_short_sentence_in_another_script(units):
+    model = fit([("en", "the grey goose counts the lantern and the lamp"), ("ru", "серый гусь считает фонарь"), ("ja", "灰色の鳥がいる")], ["en", "ja", "ru"])
+    english = [words("the goose counts the lamp")] * units
+    for text, lang in (("Хмурый филин.", 2), ("Ждём!", 2), ("雨傘", 1)):
+        found, whole = main_words(text)
+        assert whole and set(mixture(model.scores([*english, found], [True] * units + [whole]))[0]) == {0, lang}
+    for text in ("EË", "See Хмурый now", "The goose"):  # shapes of any script, a name in a sentence, the same language
+        found, whole = main_words(text)
+        assert mixture(model.scores([*english, found], [True] * units + [whole]))[0] == [0]
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
