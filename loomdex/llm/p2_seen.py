@@ -103,23 +103,31 @@ def surely_new(rows: DataFrame, known: DataFrame, key: str, order: str, fp_inver
     return _arrivals(rows, known, key, order, bits, shard_bits, chunk_bits).mapInArrow(_probe(bits, shard_bits, stats), schema)
 
 
+def _told(rows: DataFrame, key: str, order: str, new: DataFrame) -> DataFrame:
+    """(row_id, key, new) of the rows asked about: new is true for rows that the sets have not seen, else NULL."""
+    asked = rows.where(F.col(key).isNotNull()).select(F.col(order).alias("row_id"), F.col(key).alias("key"))
+    return asked.join(new.select("row_id", F.lit(True).alias("new")), "row_id", "left")
+
+
 def false_positives(rows: DataFrame, known: DataFrame, key: str, order: str, new: DataFrame) -> DataFrame:
-    """The exact check: rows (row_id) that are new by their whole key although the sets took them for seen."""
-    a = known.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lit(None).cast("long").alias("row"), F.lit(True).alias("known"))
-    b = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("row"), F.lit(False).alias("known"))
-    exact = a.unionByName(b).groupBy("key").agg(F.min("row").alias("row_id"), F.max("known").alias("known")).where(~F.col("known")).select("row_id")
-    return exact.join(new, "row_id", "left_anti")
+    """The exact check of the rows that the sets took for seen: those (row_id) that are the first of a whole key that is neither known nor of a new row.
+
+    The sets miss nothing, so a key with a new row has that as its first one and its other rows are rightly taken for seen.
+    """
+    told = _told(rows, key, order, new)
+    first = told.where(F.col("new").isNull()).groupBy("key").agg(F.min("row_id").alias("row_id"))
+    sure = known.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().unionByName(told.where("new").select("key"))
+    return first.join(sure, "key", "left_anti").select("row_id")
 
 
 def seen_before(rows: DataFrame, known: DataFrame, key: str = "kv_key", order: str = "row_id", fp_inverse: int = FP_INVERSE) -> DataFrame:
-    """Rows (row_id) whose key stands in `known` or in a row with a smaller `order`; false positives of the sets are taken out.
+    """Rows (row_id) whose key stands in `known` or in a row with a smaller `order`: those that the sets took for seen, less their false positives.
 
     NULL keys are never seen; an empty key is a key like any other; a row delivered again under a new `order` is seen.
     """
     new = cut(surely_new(rows, known, key, order, fp_inverse))
-    asked = rows.where(F.col(key).isNotNull()).select(F.col(order).alias("row_id"))
-    wrong = false_positives(rows, known, key, order, new)
-    return asked.join(new.unionByName(wrong), "row_id", "left_anti")
+    positives = _told(rows, key, order, new).where(F.col("new").isNull()).select("row_id")
+    return positives.join(false_positives(rows, known, key, order, new), "row_id", "left_anti")
 
 
 def report(rows: DataFrame, known: DataFrame, key: str = "kv_key", order: str = "row_id", fp_inverse: int = FP_INVERSE) -> DataFrame:

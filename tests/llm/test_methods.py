@@ -171,6 +171,14 @@ def test_abbreviations_at_every_size(size):
     assert abbreviations([("st", 0, 970 * size, 30 * size)], 0.15) == {}
 
 
+def test_exact_check_of_the_sets_positives_only(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "c")], "row_id long, kv_key string")
+    known = spark.createDataFrame([("b",)], "kv_key string")
+    wrong = lambda *new: [r[0] for r in p2_seen.false_positives(rows, known, "kv_key", "row_id", spark.createDataFrame([(x,) for x in new], "row_id long")).collect()]
+    assert wrong(1) == [4] and wrong(1, 4) == []
+    assert wrong(2, 4) == []  # what the sets call new isn't looked at again
+
+
 def split(text, *corpus):
     return [text[a:b] for a, b in Splitter(*corpus).split(text)]
 
