@@ -234,7 +234,13 @@ def mixture(scores: np.ndarray) -> tuple[list[int], np.ndarray]:
     while len(chosen) < scores.shape[1] and bound - best > cost:
         most = np.maximum(scores, scores[:, chosen].max(axis=1, keepdims=True)).sum(axis=0)  # no mixture with the further language gets above
         gains = [(int(i), float(most[i])) for i in np.argsort(-most) if i not in chosen and most[i] - best > cost]
-        step = max(((proportions(scores[:, [*chosen, i]]), i) for i, _ in gains[:4]), key=lambda x: x[0][1], default=None)
+        step = None
+        for i, above in gains:
+            if step is not None and above <= step[0][1]:
+                break  # neither this nor a later one gets above what is found
+            tried = proportions(scores[:, [*chosen, i]])
+            if step is None or tried[1] > step[0][1]:
+                step = tried, i
         if step is None or step[0][1] - best <= cost:
             break
         (shares, best), i = step

@@ -117,6 +117,13 @@ def test_language_held_out(spark, data):
     assert len(mixture(model.scores([words(t) for t in by["de"]]))[0]) == 1
 
 
+def test_mixture_looks_beyond_four_candidates():
+    scores = np.zeros((200, 6))
+    scores[:, 1:5] = np.where(np.arange(200) < 100, 0.2, -5.0)[:, None]  # high bounds that no share reaches
+    scores[:, 5] = np.where(np.arange(200) == 150, 19.0, -30.0)
+    assert mixture(scores)[0] == [0, 5]
+
+
 @pytest.mark.parametrize("units", [3, 100, 1000])
 def test_short_sentence_in_another_script(units):
     model = fit([("en", "the grey goose counts the lantern and the lamp"), ("ru", "серый гусь считает фонарь"), ("ja", "灰色の鳥がいる")], ["en", "ja", "ru"])
