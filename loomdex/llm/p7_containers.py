@@ -41,10 +41,11 @@ def _pack_cell(round_no: int):
 def pack_items(items: DataFrame, cell: int = CELL, kept_fill: float = KEPT_FILL) -> DataFrame:
     """(container, capacity, doc_id, part, tokens, bin, fill) of items no larger than their capacity. (doc_id, part) is unique per container.
 
-    The number of rounds grows with the logarithm of the items; a round that can't fill half of its bins is the last, so items that don't go
-    together end it too.
+    The number of rounds grows with the logarithm of the items. A container of which a round keeps more than half of the items, since they don't
+    go together, gives on only bins that are at most half full from then, of which any two would go together; other containers go on as they are.
     """
-    done, rest, before, round_no = [], items, None, 0
+    done, rest, before, round_no = [], items, {}, 0
+    slow: set[str] = set()
     while True:
         most = rest.groupBy("container").agg(F.count("*").alias("n")).collect()  # a row per container
         left = sum(r["n"] for r in most)
@@ -54,11 +55,15 @@ def pack_items(items: DataFrame, cell: int = CELL, kept_fill: float = KEPT_FILL)
         n_cells = F.create_map(*[x for c, n in cells.items() for x in (F.lit(c), F.lit(n))])[F.col("container")] if cells else F.lit(1)
         dealt = rest.withColumn("cell", F.pmod(F.xxhash64("doc_id", "part", F.lit(round_no)), n_cells).cast("int"))
         packed = cut(dealt.groupBy("container", "cell").applyInPandas(_pack_cell(round_no), _PACKED))
-        if all(n == 1 for n in cells.values()) or (before is not None and left > before // 2):
+        now = {r["container"]: r["n"] for r in most}
+        last = {c for c, n in now.items() if cells[c] == 1 or (c in slow and n >= before[c])}
+        slow |= {c for c, n in now.items() if c in before and n > before[c] // 2}
+        if last == set(now):
             done.append(packed)
             break
-        done.append(packed.where(F.col("fill") >= kept_fill))
-        rest, before, round_no = packed.where(F.col("fill") < kept_fill).drop("bin", "fill"), left, round_no + 1
+        enough = F.when(F.col("container").isin(sorted(last)), 0.0).when(F.col("container").isin(sorted(slow)), min(0.5000001, kept_fill)).otherwise(kept_fill)
+        done.append(packed.where(F.col("fill") >= enough))
+        rest, before, round_no = packed.where(F.col("fill") < enough).drop("bin", "fill"), now, round_no + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -69,7 +74,7 @@ def containers_for(docs: DataFrame, capacities: dict[str, int], text: str = "tex
     """(container, capacity, bin, doc_id, part, tokens): each text of `docs` in a bin of every container.
 
     NULL and empty texts are items of size 0 and stand in some bin. A text above the capacity fills bins of its own with its first parts, `part`
-    counting from 0. doc_id must be unique. An empty table, or no container, gives no rows.
+    counting from 0. doc_id must be unique; rows without one are left out. An empty table, or no container, gives no rows.
     """
     sized = cut(token_counts(docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], text))
     kinds = F.array(*[F.struct(F.lit(k).alias("container"), F.lit(int(c)).cast("long").alias("capacity")) for k, c in sorted(capacities.items()) if c and c > 0])

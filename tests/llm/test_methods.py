@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p9_sentences
+from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p7_containers, p9_sentences
 from loomdex.llm.counters import last_seen
 from loomdex.llm.cube import flight, landing
 from loomdex.llm.golomb import GolombSet, GrowingGolombSet
@@ -228,6 +228,17 @@ def test_packing_beats_first_fit():
     assert len(pack(sizes, 100, 1)) <= 42
 
 
+def test_a_container_goes_on_whatever_others_do(spark):
+    rng = random.Random(5)
+    easy = [("easy", 100, i, 0, rng.randint(5, 45)) for i in range(1500)]
+    hard = [("hard", 100, i, 0, 60) for i in range(3000)]
+    both = p7_containers.pack_items(spark.createDataFrame(easy + hard, "container string, capacity long, doc_id long, part int, tokens long"), cell=32, kept_fill=0.97).collect()
+    alone = p7_containers.pack_items(spark.createDataFrame(easy, "container string, capacity long, doc_id long, part int, tokens long"), cell=32, kept_fill=0.97).collect()
+    assert len(both) == len({(r["container"], r["doc_id"]) for r in both}) == 4500
+    assert sorted(tuple(r) for r in both if r["container"] == "easy") == sorted(tuple(r) for r in alone)
+    assert len({r["bin"] for r in both if r["container"] == "hard"}) == 3000
+
+
 def test_cube_flight_keeps_totals():
     rng = random.Random(4)
     sizes, chances = [float(rng.randint(1, 500)) for _ in range(300)], [0.3] * 300
