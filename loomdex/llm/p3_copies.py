@@ -1,15 +1,17 @@
-"""Problem 3: records that are the same but for layout, by bottom-up hashing.
+"""Problem 3: records that are the same but for layout, by bottom-up hashing (trees.py).
 
-A record is a tree: a root over fields without order, where a field list in `content` contributes each of its parts as a field. Leaves are
-normalised (letter case and everything that is not a letter, combining mark or digit disregarded) and hashed; the root's digest is the hash of its
-children's sorted digests. Groups form by root digest and are then confirmed by comparing the whole normalised structures.
+A record is a node without order over its fields: those of the title and those of the content, where a field list contributes each of its parts.
+Leaves are normalised (letter case and everything that is not a letter, combining mark or digit disregarded) and hashed; a node's digest is the hash
+of its children's sorted digests. Records are grouped by root digest and whole normalised structure, so that equal digests never decide alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType
 
+from loomdex.llm.trees import digest, structure
 from loomdex.operators.skew import skew_join
 from loomdex.session import cut, spread, table
 
@@ -19,7 +21,9 @@ PARTS, NAMED = r"[;|\r\n]+", r"^[^:=]*[\p{L}\p{N}][^:=]*[:=].*\S"
 LEAST_PARTS = 3
 #: Characters dropped from a leaf: all but letters, marks and digits, and those letters and marks that can't be seen.
 DROPPED = r"[[^\p{L}\p{M}\p{N}][\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}]]+"
-VISIBLE = r"[\p{L}\p{N}]"
+VISIBLE = r"[\p{L}\p{N}&&[^\x{115F}\x{1160}\x{3164}\x{FFA0}]]"
+#: The kind of a document's record.
+FIELDS = ArrayType(StringType())
 
 
 def leaf(text: Column) -> Column:
@@ -28,80 +32,91 @@ def leaf(text: Column) -> Column:
     return F.regexp_replace(lower, DROPPED, "")
 
 
-def parts(content: Column) -> Column:
-    """The non-blank stretches between the marks that part a field list."""
-    return F.filter(F.split(content, PARTS), lambda p: F.trim(p) != "")
+def parts(text: Column) -> Column:
+    """The stretches with a letter or digit between the marks that part a field list."""
+    return F.filter(F.split(text, PARTS), lambda p: p.rlike(VISIBLE))
 
 
-def fields(title: Column, content: Column, stretches: Column) -> Column:
-    """The record's fields: its title, then its content or, if that is a field list, each of its parts."""
+def fields(text: Column, stretches: Column) -> Column:
+    """Each part of a field list as a field; any other text is one field."""
     listed = (F.size(stretches) >= LEAST_PARTS) & F.forall(stretches, lambda p: p.rlike(NAMED))
-    return F.concat(F.array(title), F.when(listed, stretches).otherwise(F.array(content)))
+    return F.when(listed, stretches).otherwise(F.array(text))
 
 
-def merkle(docs: DataFrame) -> DataFrame:
-    """(doc_id, root, whole): the root digest of each record and its normalised structure, fields in order of their text.
+def document_records(docs: DataFrame) -> DataFrame:
+    """(doc_id, record): the fields of title and content, each of which may be a field list, of the rows that have a letter or digit.
 
-    NULL title or content is an empty field, which is left out. Records without any letter or digit are left out whole.
+    NULL title or content is an empty field, which is left out of the hashes.
     """
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    seen = spread(docs).where(F.concat(title, content).rlike(VISIBLE)).select("doc_id", title.alias("title"), content.alias("content"), parts(content).alias("parts"))
-    leaves = F.filter(F.transform(fields(F.col("title"), F.col("content"), F.col("parts")), leaf), lambda x: x != "")
-    grown = seen.select("doc_id", leaves.alias("leaves"))
-    digests = F.sort_array(F.transform("leaves", lambda x: F.md5(x.cast("binary"))))
-    # a root that can't be NULL needs no test for it, for which it would be computed once more
-    root = F.coalesce(F.unhex(F.md5(F.concat_ws("", digests).cast("binary"))), F.lit(b""))
-    return grown.select("doc_id", root.alias("root"), F.concat_ws("\x1f", F.sort_array("leaves")).alias("whole"))
-
-
-def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Roots with their smallest doc_id and count; the members of roots that occur twice or more; those members' groups by whole structure."""
-    records = merkle(docs.select("doc_id", "title", "content"))
-    roots = cut(records.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    repeated = roots.where("n > 1").select("root", "n")
-    members = cut(skew_join(records, repeated, ["root"], "n", docs.count(), F.col("doc_id")).drop("n"))
-    return roots, members, members.groupBy("root", "whole").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
-
-
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy_of) for every record that has copies, its group's smallest doc_id standing for it, that one included.
-
-    Roots are counted with map-side combining, so a group of any size is one row per task; only records whose root occurs twice are
-    read again with their text. They are grouped by their whole structure, which confirms or splits the group of a digest exactly.
-    A root or structure that holds a thousandth of all records is salted (skew_join). Equal rows count as copies of each other.
+    kept = spread(docs.select("doc_id", "title", "content")).where(F.concat(title, content).rlike(VISIBLE))
+    cells = kept.select("doc_id", title.alias("t"), content.alias("c"), parts(title).alias("tp"), parts(content).alias("cp"))
+    return cells.select("doc_id", F.concat(fields(F.col("t"), F.col("tp")), fields(F.col("c"), F.col("cp"))).alias("record"))
+
+
+def merkle(records: DataFrame, kind: DataType = FIELDS, named: bool = True) -> DataFrame:
+    """(doc_id, root, whole): the root digest of each record of (doc_id, record) and its normalised structure. Records without any kept leaf are equal."""
+    own = leaf
+    if kind == FIELDS:  # normalised once for both
+        records, own = records.select("doc_id", F.transform("record", leaf).alias("record")), lambda x: x
+    record = F.col("record")
+    return records.select("doc_id", digest(record, kind, own, named).alias("root"), structure(record, kind, own, named).alias("whole"))
+
+
+def groups(trees: DataFrame) -> DataFrame:
+    """(root, whole, copy_of, n) of each group: its digests, smallest doc_id and size; `whole` leaves as a digest of the structure.
+
+    The structures themselves are the key of the one aggregation, which combines before it shuffles: a group of any size is one row per task.
+    """
+    found = trees.groupBy("root", "whole").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
+    return found.select("root", _short("whole"), "copy_of", "n")
+
+
+def _short(whole: str) -> Column:
+    return F.coalesce(F.unhex(F.sha2(F.col(whole).cast("binary"), 256)), F.lit(b"")).alias(whole)
+
+
+def copies(records: DataFrame, kind: DataType = FIELDS, named: bool = True) -> DataFrame:
+    """(doc_id, copy_of) for every record of (doc_id, record) that has copies, its group's smallest doc_id standing for it, that one included.
+
+    Members are joined to their groups by digests only, without their texts; a group with a thousandth of all records is salted (skew_join).
+    Equal rows count as copies of each other; a row without a doc_id counts but can't stand for others.
     """
-    _, members, groups = _groups(docs)
-    return skew_join(members, groups.where("n > 1"), ["root", "whole"], "n", docs.count(), F.col("doc_id")).select("doc_id", "copy_of")
+    trees = merkle(records, kind, named)
+    members = trees.select("doc_id", "root", _short("whole"))
+    repeated = cut(groups(trees).where("n > 1"))
+    return skew_join(members, repeated, ["root", "whole"], "n", records.count(), F.col("doc_id")).select("doc_id", "copy_of")
 
 
-def collapsed(docs: DataFrame) -> DataFrame:
+def collapsed(records: DataFrame, kind: DataType = FIELDS, named: bool = True) -> DataFrame:
     """(doc_id, copies): one record, that with the smallest doc_id, for each group of copies, and the size of the group.
 
     Records without any letter or digit are left out; an empty table gives no rows.
     """
-    roots, _, groups = _groups(docs)
-    return roots.where("n = 1").select("doc_id", F.col("n").alias("copies")).unionByName(groups.select(F.col("copy_of").alias("doc_id"), F.col("n").alias("copies")))
+    return groups(merkle(records, kind, named)).select(F.col("copy_of").alias("doc_id"), F.col("n").alias("copies"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = copies(table(spark, sf_dir, "doc_store"))
+    found = copies(document_records(table(spark, sf_dir, "doc_store")))
     return found.where("doc_id > copy_of").select(F.col("copy_of").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
 
 
 def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapsed(table(spark, sf_dir, "doc_store"))
+    return collapsed(document_records(table(spark, sf_dir, "doc_store")))
 
 
 QUERIES = {"p3_found": p3_found, "p3_collapsed": p3_collapsed}
 
 _SQL = r"""
 WITH r AS (SELECT doc_id, coalesce(title, '') AS t, coalesce(content, '') AS c FROM doc_store),
-p AS (SELECT doc_id, t, c, list_filter(regexp_split_to_array(c, '[;|\r\n]+'), lambda x: trim(x) <> '') AS parts FROM r WHERE regexp_matches(t || c, '[\p{L}\p{N}]')),
-f AS (SELECT doc_id, list_concat([t], CASE WHEN len(parts) >= 3 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^:=]*[\p{L}\p{N}][^:=]*[:=].*\S'))) = 0 THEN parts ELSE [c] END) AS fs FROM p),
-n AS (SELECT doc_id, list_sort(list_filter(list_transform(fs, lambda x: regexp_replace(replace(replace(lower(x), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{M}\p{N}]', '', 'g')), lambda x: x <> '')) AS k FROM f),
-g AS (SELECT k, min(doc_id) AS a, count(*) AS copies FROM n GROUP BY k)
+s AS (SELECT doc_id, unnest([t, c]) AS x FROM r WHERE regexp_matches(t || c, '[\p{L}\p{N}]')),
+p AS (SELECT doc_id, x, list_filter(regexp_split_to_array(x, '[;|\r\n]+'), lambda y: regexp_matches(y, '[\p{L}\p{N}]')) AS parts FROM s),
+f AS (SELECT doc_id, unnest(CASE WHEN len(parts) >= 3 AND len(list_filter(parts, lambda y: NOT regexp_matches(y, '^[^:=]*[\p{L}\p{N}][^:=]*[:=].*\S'))) = 0 THEN parts ELSE [x] END) AS y FROM p),
+n AS (SELECT doc_id, regexp_replace(replace(replace(lower(y), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{M}\p{N}]', '', 'g') AS y FROM f),
+k AS (SELECT doc_id, list(y ORDER BY y) AS k FROM n WHERE y <> '' GROUP BY doc_id),
+g AS (SELECT k, min(doc_id) AS a, count(*) AS copies FROM k GROUP BY k)
 """
 SQL = {
-    "p3_found": _SQL + "SELECT a AS doc_id_a, doc_id AS doc_id_b FROM n JOIN g USING (k) WHERE doc_id > a",
+    "p3_found": _SQL + "SELECT a AS doc_id_a, doc_id AS doc_id_b FROM k JOIN g USING (k) WHERE doc_id > a",
     "p3_collapsed": _SQL + "SELECT a AS doc_id, copies FROM g",
 }

@@ -40,9 +40,10 @@ def test_seen(spark):
 
 
 def test_copies(docs):
-    assert sorted(tuple(r) for r in p3_copies.copies(docs.where("doc_id is not null")).collect()) == [(4, 4), (5, 4)]
-    assert {r["doc_id"]: r["copies"] for r in p3_copies.collapsed(docs.where("doc_id is not null")).collect()} == {3: 1, 4: 2, 6: 1}
-    assert p3_copies.copies(docs.where("false")).count() == 0
+    records = p3_copies.document_records(docs.where("doc_id is not null"))
+    assert sorted(tuple(r) for r in p3_copies.copies(records).collect()) == [(4, 4), (5, 4)]
+    assert {r["doc_id"]: r["copies"] for r in p3_copies.collapsed(records).collect()} == {3: 1, 4: 2, 6: 1}
+    assert p3_copies.copies(records.where("false")).count() == 0
 
 
 def test_lookalikes(docs):

@@ -70,11 +70,48 @@ def test_last_seen(records):
 
 
 def test_copies(spark):
-    rows = [(1, "A Book", "Grey goose."), (2, "a  book", "GREY​goose"), (3, "Grey goose", "A book!"), (4, "A Book", "grey gosling"), (5, "T", "a: 1; b: 2; c: 3"), (6, "t", "c: 3 | A = 1 | b: 2"), (7, "t", "a: 2; b: 1; c: 3"), (8, "STRASSE", ""), (9, "Straße", None), (10, "café", ""), (11, "café", ""), (12, "x; y", ""), (13, "x: 1; y: 2", "")]
-    got = {tuple(r) for r in p3_copies.copies(spark.createDataFrame(rows, "doc_id long, title string, content string")).where("doc_id > copy_of").collect()}
+    rows = [(1, "A Book", "Grey goose."), (2, "a  book", "GREY​goose"), (3, "Grey goose", "A book!"), (4, "A Book", "grey gosling"), (5, "T", "a: 1; b: 2; c: 3"), (6, "t", "c: 3 | A = 1 | b: 2"), (7, "t", "a: 2; b: 1; c: 3"), (8, "STRASSE", ""), (9, "Straße", None), (10, "café", ""), (11, "café", ""), (12, "x; y", ""), (13, "x: 1; y: 2", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, content string")
+    got = {tuple(r) for r in p3_copies.copies(p3_copies.document_records(docs)).where("doc_id > copy_of").collect()}
     assert got == {(2, 1), (3, 1), (6, 5), (9, 8)}
 
 
+def test_copies_with_a_field_list_as_title(spark):
+    rows = [(1, "Kind: moth; Place: mill; Year: 1951", "A note"), (2, "A NOTE", "year = 1951 | kind = moth | place = mill"), (3, "Kind: moth\nYear: 1951;​;Place: mill", "a note"), (4, "Kind: moth; Place: mill", "A note"), (5, "a note", "Kind: moth; Place: mill"), (6, "Kind moth; place mill; year 1951", "A note"), (7, "a: 1; b: 2; c: 3", "d: 4; e: 5; f: 6"), (8, "f: 6; b: 2; d: 4", "c: 3; a: 1; e: 5"), (9, "Kind: moth; Place: mill; Year: 1951", "Aㅤ note"), (10, "ㅤ", "ㅤ")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, content string")
+    got = {tuple(r) for r in p3_copies.copies(p3_copies.document_records(docs)).where("doc_id > copy_of").collect()}
+    assert got == {(2, 1), (3, 1), (9, 1), (5, 4), (8, 7)}
+    assert {r["doc_id"]: r["copies"] for r in p3_copies.collapsed(p3_copies.document_records(docs)).collect()} == {1: 4, 4: 2, 6: 1, 7: 2}
+
+
+def test_copies_of_nested_records(spark):
+    """Against brute force: nested arrays, maps and structs are equal as trees without order."""
+    rng = random.Random(8)
+    kind = "struct<a: string, b: array<struct<x: string, y: array<string>>>, c: map<string, string>>"
+
+    def word():
+        return rng.choice(["Moth", "moth", "MILL.", "mill", "", None, " - "])
+
+    def record():
+        return (word(), [(word(), [word() for _ in range(rng.randint(0, 2))]) for _ in range(rng.randint(0, 2))], {k: word() for k in rng.sample("kl", rng.randint(0, 2))})
+
+    def norm(x):
+        return "".join(ch for ch in (x or "").lower() if ch.isalnum())
+
+    def tree(r):
+        a, b, c = r
+        inner = [tuple((n, v) for n, v in (("x", norm(x)), ("y", tuple(sorted(norm(w) for w in y if norm(w))))) if v) for x, y in b]
+        return norm(a), tuple(sorted(t for t in inner if t)), tuple(sorted((k, norm(v)) for k, v in c.items() if norm(v)))
+
+    rows = [(i, record()) for i in range(300)]
+    df = spark.createDataFrame(rows, f"doc_id long, record {kind}")
+    first: dict = {}
+    for i, r in rows:
+        first.setdefault(tree(r), []).append(i)
+    want = {(i, g[0]) for g in first.values() if len(g) > 1 for i in g}
+    assert {tuple(r) for r in p3_copies.copies(df, df.schema["record"].dataType).collect()} == want
+
+
 @pytest.mark.parametrize(
     "a,b",
     [("ｆｕｌｌ", "full"), ("café", "café"), ("ﬁne", "fine"), ("a​b", "ab"), ("a b", "a b"), ("соре and", "cope and"), ("Тhе Bооk", "The Book"), ("Cepый гycь", "Серый гусь"), ("iй їжак", "ій їжак"), ("ﾊﾟﾝ", "パン"), ("Τhe οld", "The old"), ("soft­hyphen", "softhyphen")],
