@@ -33,8 +33,9 @@ def leaf(text: Column) -> Column:
 
 
 def parts(text: Column) -> Column:
-    """The stretches with a letter or digit between the marks that part a field list."""
-    return F.filter(F.split(text, PARTS), lambda p: p.rlike(VISIBLE))
+    """The stretches with a letter or digit between the marks that part a field list; none for a text without a mark that ends a name."""
+    named = text.contains(":") | text.contains("=")
+    return F.when(named, F.filter(F.split(text, PARTS), lambda p: p.rlike(VISIBLE))).otherwise(F.array().cast("array<string>"))
 
 
 def fields(text: Column, stretches: Column) -> Column:
