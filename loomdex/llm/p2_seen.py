@@ -3,13 +3,15 @@
 Every key is hashed to 64 bits and reduced to the top `bits` of them, where 2**bits is at least `fp_inverse` times the number of rows. The top
 bits are also the shard. Each shard is worked through in order of arrival: a batch of rows is probed against a Golomb-coded set of all that came
 before (index entries first, then earlier rows), then its new values are added. A task holds one shard's compressed set and a batch of rows,
-never the keys.
+never the keys. What the sets take for new or seen is the answer.
 
-A hot key can't overload a shard: rows are first reduced, with map-side combining, to the first row of each (reduced hash, block of arrival),
-so a key counts at most once per `1 << chunk_bits` arrivals.
+A hot key can't overload a shard: rows are first reduced, with map-side combining, to the first row of each (reduced hash, check hash, block of
+arrival), so a key counts at most once per `1 << chunk_bits` arrivals.
 
-The set has no false negatives. An exact check follows: the first row of every key that the index lacks is new for certain; those among them
-that the set took for seen are its false positives. They are taken out of the result and counted for the audited rate.
+The sets have no false negatives, and they can only be wrong where two different keys met at one reduced value. So the exact check that follows
+looks at those values alone, about one in `fp_inverse`: keys are told apart there by a second, independent 64-bit hash (two of n keys
+agree in both with a probability of n**2 / 2**(bits + 65), below 1e-12 for 10 billion keys). What it finds is taken out of the result and counted
+for the audited rate. Whole keys are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.golomb import GrowingGolombSet
@@ -39,106 +41,104 @@ def _plan(total: int, fp_inverse: int) -> tuple[int, int]:
     return bits, min(bits - 1, max(LEAST_SHARD_BITS, math.ceil(math.log2(max(1, total / SHARD_VALUES)))))
 
 
-def _probe(bits: int, shard_bits: int, stats: bool):
-    """The pass over partitions that are sorted by shard and block of arrival."""
+_TOLD = "row_id long, shard long, values_held long, bytes_held long, probes long, positives long, expected_fp double"
+
+
+def _probe(bits: int, shard_bits: int):
+    """The pass over partitions that are sorted by shard and block of arrival: a row per new value, and a row of figures per shard."""
     span = float(1 << (bits - shard_bits))
+    figures = [pa.int64()] * 5 + [pa.float64()]
+    names = [x.split()[0] for x in _TOLD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen, probes, positives, expected = -1, GrowingGolombSet(), 0, 0, 0.0
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": [shard], "values_held": [len(seen)], "bytes_held": [seen.bytes_used()], "probes": [probes], "positives": [positives], "expected_fp": [expected]})
+            values = [shard, len(seen), seen.bytes_used(), probes, positives, expected]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.array([x], k) for x, k in zip(values, figures, strict=True)]], names)
 
         for batch in batches:
-            value, order, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            row = np.where(np.isnan(row), -1, row).astype(np.int64) if row.dtype.kind == "f" else row
+            value, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3)
+            asked_all, row = row.is_valid().to_numpy(zero_copy_only=False), row.fill_null(-1).to_numpy(zero_copy_only=False)
             shards = value >> (bits - shard_bits)
             cuts = np.flatnonzero(np.diff(shards)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(value)], strict=True):
                 if a == b:
                     continue
                 if shards[a] != shard:
-                    if stats and shard >= 0:
+                    if shard >= 0:
                         yield told()
                     shard, seen, probes, positives, expected = int(shards[a]), GrowingGolombSet(), 0, 0, 0.0
-                by = np.lexsort((order[a:b], value[a:b]))
-                v, o, r = value[a:b][by], order[a:b][by], row[a:b][by]
+                by = np.lexsort((row[a:b], value[a:b]))  # known keys (-1) come before the rows
+                v, r, asked = value[a:b][by], row[a:b][by], asked_all[a:b][by]
                 fresh = np.ones(len(v), bool)
                 fresh[1:] = v[1:] != v[:-1]
                 first = np.flatnonzero(fresh)
                 fresh[first] = ~seen.contains(v[first])
-                asked = o >= 0
                 probes += int(asked.sum())
                 positives += int((asked & ~fresh).sum())
-                at = np.argsort(o[fresh], kind="stable")  # the values that each new one was held against: all before it
+                at = np.argsort(r[fresh], kind="stable")  # the values that each new one was held against: all before it
                 expected += float((len(seen) + np.flatnonzero(asked[fresh][at])).sum()) / span
                 seen.add(v[fresh])
-                if not stats:
-                    yield pa.RecordBatch.from_pydict({"row_id": pa.array(r[fresh & asked])})
-        if stats and shard >= 0:
+                new = pa.array(r[fresh & asked])
+                yield pa.RecordBatch.from_arrays([new, *[pa.nulls(len(new), k) for k in figures]], names)
+        if shard >= 0:
             yield told()
 
     return run
 
 
 def _arrivals(rows: DataFrame, known: DataFrame, key: str, order: str, bits: int, shard_bits: int, chunk_bits: int) -> DataFrame:
-    """(value, chunk, first row) sorted for the pass; known keys have chunk -1 and no row."""
-    value = F.shiftrightunsigned(F.xxhash64(key), 64 - bits).alias("value")
-    a = known.where(F.col(key).isNotNull()).select(value, F.lit(-1).cast("long").alias("chunk"), F.lit(None).cast("long").alias("row"))
-    b = rows.where(F.col(key).isNotNull()).select(value, F.shiftright(F.col(order), chunk_bits).alias("chunk"), F.col(order).alias("row"))
-    first = a.unionByName(b).groupBy("value", "chunk").agg(F.min("row").alias("row"))
-    shard = F.shiftrightunsigned(F.col("value"), bits - shard_bits)
-    return first.repartition(shard).sortWithinPartitions(shard, "chunk").select("value", "chunk", "row")
+    """(value, chunk, check, row, shard), the first row of each key in each block of arrival, parted by shard; known keys have chunk -1 and no row."""
+    value, check = F.shiftrightunsigned(F.xxhash64(key), 64 - bits).alias("value"), F.xxhash64(F.lit("check"), key).alias("check")
+    a = known.where(F.col(key).isNotNull()).select(value, F.lit(-1).cast("long").alias("chunk"), check, F.lit(None).cast("long").alias("row"))
+    b = rows.where(F.col(key).isNotNull()).select(value, F.shiftright(F.col(order), chunk_bits).alias("chunk"), check, F.col(order).cast("long").alias("row"))
+    first = a.unionByName(b).groupBy("value", "chunk", "check").agg(F.min("row").alias("row"))
+    return first.withColumn("shard", F.shiftrightunsigned("value", bits - shard_bits)).repartition("shard").sortWithinPartitions("shard", "chunk")
 
 
-def surely_new(rows: DataFrame, known: DataFrame, key: str, order: str, fp_inverse: int = FP_INVERSE, chunk_bits: int = CHUNK_BITS, stats: bool = False) -> DataFrame:
-    """Rows whose key the Golomb-coded sets have not seen, as (row_id); with `stats` one row of figures per shard instead.
-
-    `order` holds distinct non-negative numbers; rows with a NULL key are never asked about. Empty inputs give an empty result. Other columns
-    of either table, whatever their names, aren't read.
-    """
+def _sets(rows: DataFrame, known: DataFrame, key: str, order: str, fp_inverse: int, chunk_bits: int = CHUNK_BITS) -> tuple[DataFrame, DataFrame]:
+    """What the sets tell, rows of `_TOLD` kept in the shared folder; and the arrivals."""
     rows, known = rows.select(key, order), known.select(key)
     bits, shard_bits = _plan(rows.count() + known.count(), fp_inverse)
-    schema = "shard long, values_held long, bytes_held long, probes long, positives long, expected_fp double" if stats else "row_id long"
-    return _arrivals(rows, known, key, order, bits, shard_bits, chunk_bits).mapInArrow(_probe(bits, shard_bits, stats), schema)
+    arrivals = cut(_arrivals(rows, known, key, order, bits, shard_bits, chunk_bits))
+    return cut(arrivals.mapInArrow(_probe(bits, shard_bits), _TOLD)), arrivals
 
 
-def _told(rows: DataFrame, key: str, order: str, new: DataFrame) -> DataFrame:
-    """(row_id, key, new) of the rows asked about: new is true for rows that the sets have not seen, else NULL."""
-    asked = rows.where(F.col(key).isNotNull()).select(F.col(order).alias("row_id"), F.col(key).alias("key"))
-    return asked.join(new.select("row_id", F.lit(True).alias("new")), "row_id", "left")
+def surely_new(told: DataFrame) -> DataFrame:
+    """Rows (row_id) whose key the sets have not seen."""
+    return told.where(F.col("row_id").isNotNull()).select("row_id")
 
 
-def false_positives(rows: DataFrame, known: DataFrame, key: str, order: str, new: DataFrame) -> DataFrame:
-    """The exact check of the rows that the sets took for seen: those (row_id) that are the first of a whole key that is neither known nor of a new row.
+def collided(arrivals: DataFrame) -> DataFrame:
+    """(row_id) of the first row of every key that isn't known and whose reduced value it shares with another key.
 
-    The sets miss nothing, so a key with a new row has that as its first one and its other rows are rightly taken for seen.
+    Such a row is truly new, whatever the sets took it for. Works within the shards, without a shuffle beyond that of the arrivals.
     """
-    told = _told(rows, key, order, new)
-    first = told.where(F.col("new").isNull()).groupBy("key").agg(F.min("row_id").alias("row_id"))
-    sure = known.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().unionByName(told.where("new").select("key"))
-    return first.join(sure, "key", "left_anti").select("row_id")
+    keys = arrivals.groupBy("shard", "value", "check").agg(F.min("row").alias("row_id"), (F.min("chunk") < 0).alias("known"))
+    met = F.count("*").over(Window.partitionBy("shard", "value"))
+    return keys.withColumn("met", met).where("met > 1 AND NOT known").select("row_id")
 
 
 def seen_before(rows: DataFrame, known: DataFrame, key: str = "kv_key", order: str = "row_id", fp_inverse: int = FP_INVERSE) -> DataFrame:
     """Rows (row_id) whose key stands in `known` or in a row with a smaller `order`: those that the sets took for seen, less their false positives.
 
-    NULL keys are never seen; an empty key is a key like any other; a row delivered again under a new `order` is seen.
+    `order` holds distinct non-negative numbers. NULL keys are never seen; an empty key is a key like any other; a row delivered again under a new
+    `order` is seen. Empty inputs give an empty result. Other columns of either table, whatever their names, aren't read.
     """
-    new = cut(surely_new(rows, known, key, order, fp_inverse))
-    positives = _told(rows, key, order, new).where(F.col("new").isNull()).select("row_id")
-    return positives.join(false_positives(rows, known, key, order, new), "row_id", "left_anti")
+    told, arrivals = _sets(rows, known, key, order, fp_inverse)
+    asked = rows.where(F.col(key).isNotNull()).select(F.col(order).alias("row_id"))
+    return asked.join(surely_new(told).unionByName(collided(arrivals)), "row_id", "left_anti")
 
 
 def report(rows: DataFrame, known: DataFrame, key: str = "kv_key", order: str = "row_id", fp_inverse: int = FP_INVERSE) -> DataFrame:
-    """One row: how often the sets' answer is wrong, in theory and audited against whole keys, and what they take per key."""
-    new = cut(surely_new(rows, known, key, order, fp_inverse))
-    wrong = false_positives(rows, known, key, order, new).agg(F.count("*").alias("false_positives"))
-    held = surely_new(rows, known, key, order, fp_inverse, stats=True).agg(F.sum("values_held").alias("values_held"), F.sum("bytes_held").alias("bytes_held"), F.sum("expected_fp").alias("expected_fp"))
+    """One row: how often the sets' answer is wrong, in theory and audited, and what they take per key."""
+    told, arrivals = _sets(rows, known, key, order, fp_inverse)
+    wrong = collided(arrivals).join(surely_new(told), "row_id", "left_anti").agg(F.count("*").alias("false_positives"))
+    held = told.agg(F.count("row_id").alias("surely_new"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("values_held", "bytes_held", "expected_fp")])
     asked = rows.agg(F.count("*").alias("rows_in"), F.count(key).alias("rows_asked"))
-    fresh = new.agg(F.count("*").alias("surely_new"))
     one = lambda d: d.withColumn("one", F.lit(1))
-    joined = one(asked).join(one(fresh), "one").join(one(wrong), "one").join(one(held), "one").drop("one")
+    joined = one(asked).join(one(wrong), "one").join(one(held), "one").drop("one")
     truly = F.greatest(F.col("surely_new") + F.col("false_positives"), F.lit(1))
     return joined.select(
         "rows_in", "rows_asked", "surely_new", "false_positives", "values_held", "bytes_held",

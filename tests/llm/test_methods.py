@@ -55,8 +55,35 @@ def test_seen_before_with_a_hot_key_and_many_collisions(spark):
         there.add(k)
     for inverse in (1024, 1):  # with a target range as small as the rows there are many false positives, all taken out
         assert sorted(r[0] for r in p2_seen.seen_before(rows, known, fp_inverse=inverse).collect()) == want
-    new = p2_seen.surely_new(rows, known, "kv_key", "row_id", 1, chunk_bits=6)
-    assert 0 < p2_seen.false_positives(rows, known, "kv_key", "row_id", new).count() < len(keys) - len(want)
+    figures = p2_seen.report(rows, known, fp_inverse=1).first()
+    assert 0 < figures["false_positives"] < len(keys) - len(want) and figures["surely_new"] + figures["false_positives"] == len(keys) - len(want)
+    assert 0.5 < figures["audited_rate"] / figures["theoretical_rate"] < 2 and figures["audited_rate"] <= figures["theoretical_bound"]
+
+
+def test_the_sets_decide(spark, monkeypatch):
+    """A set that forgets, or that takes everything for seen, changes the rows: the check that follows only looks where two keys met."""
+    rows = spark.createDataFrame([(i, f"k{i % 500}") for i in range(1000)], "row_id long, kv_key string")
+    known = spark.createDataFrame([], "kv_key string")
+    probe = p2_seen._probe
+    assert p2_seen.seen_before(rows, known).count() == 500
+
+    def with_set(answer):
+        def made(*args):
+            def run(batches):
+                kept = p2_seen.GrowingGolombSet.contains
+                p2_seen.GrowingGolombSet.contains = lambda self, probes: np.full(len(probes), answer)
+                try:
+                    yield from probe(*args)(batches)
+                finally:
+                    p2_seen.GrowingGolombSet.contains = kept
+
+            return run
+
+        return made
+
+    for answer, count in ((True, 1000), (False, 500)):  # one block of arrival: what forgets still sees repetitions within it
+        monkeypatch.setattr(p2_seen, "_probe", with_set(answer))
+        assert p2_seen.seen_before(rows, known).count() == count
 
 
 @settings(max_examples=60, deadline=None)
@@ -215,12 +242,11 @@ def test_abbreviations_at_every_size(size):
     assert abbreviations([("st", 0, 970 * size, 30 * size)], 0.15) == {}
 
 
-def test_exact_check_of_the_sets_positives_only(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "c")], "row_id long, kv_key string")
-    known = spark.createDataFrame([("b",)], "kv_key string")
-    wrong = lambda *new: [r[0] for r in p2_seen.false_positives(rows, known, "kv_key", "row_id", spark.createDataFrame([(x,) for x in new], "row_id long")).collect()]
-    assert wrong(1) == [4] and wrong(1, 4) == []
-    assert wrong(2, 4) == []  # what the sets call new isn't looked at again
+def test_collisions(spark):
+    """Keys that share a reduced value: each one's first row is new, but not that of a known key."""
+    rows = [(7, 0, 1, 10), (7, 1, 1, 90), (7, 0, 2, 11), (8, 0, 3, 12), (8, 3, 3, 70), (9, -1, 4, None), (9, 0, 5, 13), (9, 1, 4, 80)]
+    arrivals = spark.createDataFrame([(*r, 0) for r in rows], "value long, chunk long, check long, row long, shard long")
+    assert sorted(r[0] for r in p2_seen.collided(arrivals).collect()) == [10, 11, 13]
 
 
 def split(text, *corpus):
