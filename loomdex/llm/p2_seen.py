@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.golomb import GrowingGolombSet
@@ -58,7 +58,7 @@ def _probe(bits: int, shard_bits: int):
             return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.array([x], k) for x, k in zip(values, figures, strict=True)]], names)
 
         for batch in batches:
-            value, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3)
+            value, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             asked_all, row = row.is_valid().to_numpy(zero_copy_only=False), row.fill_null(-1).to_numpy(zero_copy_only=False)
             shards = value >> (bits - shard_bits)
             cuts = np.flatnonzero(np.diff(shards)) + 1
@@ -89,12 +89,13 @@ def _probe(bits: int, shard_bits: int):
 
 
 def _arrivals(rows: DataFrame, known: DataFrame, key: str, order: str, bits: int, shard_bits: int, chunk_bits: int) -> DataFrame:
-    """(value, chunk, check, row, shard), the first row of each key in each block of arrival, parted by shard; known keys have chunk -1 and no row."""
+    """(value, check, row), the first row of each key in each block of arrival, every shard in one partition; known keys have no row and come first."""
     value, check = F.shiftrightunsigned(F.xxhash64(key), 64 - bits).alias("value"), F.xxhash64(F.lit("check"), key).alias("check")
     a = known.where(F.col(key).isNotNull()).select(value, F.lit(-1).cast("long").alias("chunk"), check, F.lit(None).cast("long").alias("row"))
     b = rows.where(F.col(key).isNotNull()).select(value, F.shiftright(F.col(order), chunk_bits).alias("chunk"), check, F.col(order).cast("long").alias("row"))
-    first = a.unionByName(b).groupBy("value", "chunk", "check").agg(F.min("row").alias("row"))
-    return first.withColumn("shard", F.shiftrightunsigned("value", bits - shard_bits)).repartition("shard").sortWithinPartitions("shard", "chunk")
+    first = a.unionByName(b).groupBy("value", "chunk", "check").agg(F.min("row").alias("row")).select("value", "check", "row")
+    shard = F.shiftrightunsigned("value", bits - shard_bits)
+    return first.repartition(shard).sortWithinPartitions(shard, F.col("row").asc_nulls_first())
 
 
 def _sets(rows: DataFrame, known: DataFrame, key: str, order: str, fp_inverse: int, chunk_bits: int = CHUNK_BITS) -> tuple[DataFrame, DataFrame]:
@@ -110,14 +111,36 @@ def surely_new(told: DataFrame) -> DataFrame:
     return told.where(F.col("row_id").isNotNull()).select("row_id")
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First rows of the unknown keys that met another key, from partitions sorted by value, check hash and row, known keys first."""
+    kept = [np.zeros(0, np.int64)] * 3  # the keys of the last value, which may go on
+
+    def told(value: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        same = np.zeros(len(value), bool)
+        same[1:] = value[1:] == value[:-1]
+        same[:-1] |= same[1:]
+        return pa.RecordBatch.from_arrays([pa.array(row[same & (row >= 0)])], ["row_id"])
+
+    for batch in batches:
+        columns = [np.concatenate([k, batch.column(i).fill_null(-1).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept)]
+        value, check, _ = columns
+        if not len(value):
+            continue
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (check[1:] != check[:-1])
+        value, check, row = (c[new] for c in columns)  # a key's first row
+        open_ = int(np.searchsorted(value, value[-1]))
+        kept = [value[open_:], check[open_:], row[open_:]]
+        yield told(value[:open_], row[:open_])
+    yield told(kept[0], kept[2])
+
+
 def collided(arrivals: DataFrame) -> DataFrame:
     """(row_id) of the first row of every key that isn't known and whose reduced value it shares with another key.
 
-    Such a row is truly new, whatever the sets took it for. Works within the shards, without a shuffle beyond that of the arrivals.
+    Such a row is truly new, whatever the sets took it for. Sorts within the shards, without a shuffle; a task holds the keys of one value.
     """
-    keys = arrivals.groupBy("shard", "value", "check").agg(F.min("row").alias("row_id"), (F.min("chunk") < 0).alias("known"))
-    met = F.count("*").over(Window.partitionBy("shard", "value"))
-    return keys.withColumn("met", met).where("met > 1 AND NOT known").select("row_id")
+    return arrivals.sortWithinPartitions("value", "check", F.col("row").asc_nulls_first()).mapInArrow(_met, "row_id long")
 
 
 def seen_before(rows: DataFrame, known: DataFrame, key: str = "kv_key", order: str = "row_id", fp_inverse: int = FP_INVERSE) -> DataFrame:

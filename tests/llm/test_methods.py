@@ -244,9 +244,14 @@ def test_abbreviations_at_every_size(size):
 
 def test_collisions(spark):
     """Keys that share a reduced value: each one's first row is new, but not that of a known key."""
-    rows = [(7, 0, 1, 10), (7, 1, 1, 90), (7, 0, 2, 11), (8, 0, 3, 12), (8, 3, 3, 70), (9, -1, 4, None), (9, 0, 5, 13), (9, 1, 4, 80)]
-    arrivals = spark.createDataFrame([(*r, 0) for r in rows], "value long, chunk long, check long, row long, shard long")
-    assert sorted(r[0] for r in p2_seen.collided(arrivals).collect()) == [10, 11, 13]
+    rows = [(7, 1, 10), (7, 1, 90), (7, 2, 11), (8, 3, 12), (8, 3, 70), (9, 4, None), (9, 5, 13), (9, 4, 80), (11, 6, 14), (11, 7, 15)]
+    arrivals = spark.createDataFrame(rows, "value long, check long, row long").coalesce(1)
+    for size in (1, 2, 3, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted(r[0] for r in p2_seen.collided(arrivals).collect()) == [10, 11, 13, 14, 15]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert p2_seen.collided(arrivals.where("false")).count() == 0
+    assert sorted(r[0] for r in p2_seen.collided(arrivals).collect()) == [10, 11, 13, 14, 15]
 
 
 def split(text, *corpus):
