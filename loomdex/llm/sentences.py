@@ -2,14 +2,16 @@
 
 A full stop after a word is ambiguous. Words whose full stop is followed by small letters, digits or commas elsewhere, and words that hardly
 ever end a paragraph, are abbreviations; a capital letter after one begins a sentence only if the word it begins stands elsewhere in small letters, so isn't a proper
-name: in the document, or in the corpus where the document is silent. Marks of scripts without that ambiguity end sentences wherever they stand outside quotations and brackets.
+name: in the document, or in the corpus where the document is silent. A full stop after a number ends nothing before words that follow numbers far
+more often than other full stops. There is no list of abbreviations, titles or months. Marks of scripts without that ambiguity end sentences wherever
+they stand outside quotations and brackets.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Set
 from functools import lru_cache
 from math import exp, lgamma, log, log1p
 
@@ -19,20 +21,14 @@ _STRONG = frozenset("。！？｡؟۔।॥")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "〈": "〉", "《": "》", "‘": "’"}
 _OPENERS = "“„«‹\"([（「『【¿¡‘'"
 _DASHES = "—–-―"
-# Abbreviations before a name or number, and abbreviations that often end a sentence.
-_NEVER_LAST = frozenset("mr mrs ms dr prof st no vs e.g i.e cf vol pp p fig figs tab approx p.m a.m г ул см ср с рис табл ок т т.е проф им вул р див обл nr vgl abb ca z.b z d.h d bzw s st.-  m mme mlle éd env h c.-à-d ud uds av n sr sra dra pág págs aprox κ δηλ βλ σ αρ π.χ π.μ μ.μ เลขที่ น डॉ पृ श्री ص د".split())
-_TITLES = frozenset("mr mrs ms dr prof mme mlle sr sra dra ул вул им проф κ".split())  # those before a name only
-_OFTEN_LAST = frozenset("etc usw u.s.w κ.λπ κλπ т.д т.п д п inc ltd co jr".split())
-_MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
-#: Letters that an abbreviation has at most.
-LONGEST = 6
 #: Least probability of so few paragraph ends, and the share of the usual ones from which a word's are few and are as usual.
 CHANCE, FEW, USUAL = 0.001, 0.1, 0.5
+#: Least probability that a word stands after numbers so often; names, many of which are rare, are tested along with months.
+CHANCE_NUMBER = 1e-5
 
 _END = re.compile(f"[{re.escape(_ENDS)}]+")
 _QUOTES = re.compile('["“”„«»‹›()\\[\\]（）「」『』【】〈〉《》‘]')
 _CLOSERS = re.compile("(?:[   ]?[»›]|[\"”’')\\]）」』】〉》“])*")
-_BEFORE = re.compile(r"[^\s\"“”„«»‹›(\[（「『!?…。！？]+\Z")
 _GLUED = re.compile(r"\A.*[^\W\d_]{3}\.(?=[^\W\d_])")
 _ITEM = re.compile(r"[ \t]*(?:([-*•·–—▪◦●○‣])|\(?(\d{1,3})[.)])[ \t]+(\S)")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -45,10 +41,16 @@ _WORDS = re.compile(r"[^\W\d_]+")
 #: Words within a sentence, where a capital marks a name, and words after a full stop.
 _MID = re.compile(r" (?<=[\w,] )([^\W\d_]+)")
 _AFTER_STOP = re.compile(rf"\.(?<=[^\W_]\.)\s+[{re.escape(_OPENERS)}]*([^\W\d_]+)")
-_FULL_STOP = re.compile(r"(?<=[^\W_])\.(?=(\s*)(\S?))")
-_WORD_BEFORE = re.compile(r"[^\s\"“”„«»‹›(\[（「『]+\Z")
-#: Characters looked at before a full stop; no word of at most LONGEST letters has more.
-_REACH = 20
+_AFTER_NUMBER = re.compile(r"(?<=\S[ \u00a0])\d{1,2}\.\s+([^\W\d_]+)")
+#: What a word before a full stop doesn't hold, besides blanks.
+_EDGES = "\"“”„«»‹›([（「『!?…。！？"
+#: A run of characters up to its last full stop after a letter or digit, and what follows it. It begins only where a word does, so long runs are read once.
+_STOPPED = re.compile(rf"(?<![^\s{re.escape(_EDGES)}])([^\s{re.escape(_EDGES)}]+)(?<=[^\W_])\.(?=(\s*)(\S?))")
+_EDGE = frozenset(_EDGES)
+#: A word after a full stop, and the end of a word or comma with a blank, after which a sentence goes on.
+_NEXT, _WITHIN = re.compile(rf"\.\s*[{re.escape(_OPENERS)}]*([^\W\d_]+)"), re.compile(r"[\w,;:] \Z")
+#: Characters looked at before a full stop for rules on short words; known words are found at any length.
+_REACH = 64
 _TERMINAL = re.compile(f"[{re.escape(_ENDS)}:：][\\s\"”’»›)\\]）」』】“]*\\Z")
 
 
@@ -63,38 +65,69 @@ def _key(token: str) -> str:
 
 
 def full_stops(text: str) -> Iterable[tuple[str, str]]:
-    """(word, what follows its full stop) of short words in texts with both cases: 'l' what can't begin a sentence, 'u' what may, 'p' the paragraph's end."""
+    """(word, what follows its full stop) in texts with both cases: 'l' what can't begin a sentence, 'u' what may, 'p' the paragraph's end."""
     if _mode(text) != "mixed":
         return
-    for m in _FULL_STOP.finditer(text):
-        gap, after = m.groups()
-        token = _WORD_BEFORE.search(text[max(0, m.start() - _REACH) : m.start()])[0]
-        if not 0 < sum(map(str.isalpha, token)) <= LONGEST or len(token) == _REACH:
+    for token, gap, after in _STOPPED.findall(text):
+        key = _key(token)
+        if not key or key.isdigit():
             continue
         if not after or "\n\n" in gap:
-            yield _key(token), "p"
+            yield key, "p"
         elif not gap:
             if after in ",;:":
-                yield _key(token), "l"
+                yield key, "l"
         else:
-            yield _key(token), "l" if after.islower() or after.isdigit() or after in ",;:" else "u"
+            yield key, "l" if after.islower() or after.isdigit() or after in ",;:" else "u"
 
 
-def word_forms(texts: Iterable[str]) -> dict[str, tuple[int, int, int]]:
-    """How often words of texts with both cases stand in small letters and with a capital within a sentence, and with a capital after a full stop."""
+def asked_words(text: str) -> set[str]:
+    """Every word that splitting the text may ask the corpus for: those before full stops and those after them."""
+    out = {m.lower() for m in _NEXT.findall(text)}
+    at = text.find(".")
+    while at >= 0:
+        token = _token(text, 0, at, _REACH)
+        out.update((_key(token), _key(_GLUED.sub("", token))))
+        at = text.find(".", at + 1)
+    return out | {_key(token) for token, _, _ in _STOPPED.findall(text)}
+
+
+def _token(text: str, a: int, s: int, reach: int) -> str:
+    """The word that ends at s, at most `reach` characters of it."""
+    low = max(a, s - reach)
+    at = s
+    while at > low and text[at - 1] not in _EDGE and not text[at - 1].isspace():
+        at -= 1
+    return text[at:s]
+
+
+def word_forms(texts: Iterable[str]) -> dict[str, tuple[int, int, int, int]]:
+    """How often words of texts with both cases stand in small letters and with a capital within a sentence, with a capital after a full stop, and
+    so after that of a number of one or two digits."""
     mid: Counter[str] = Counter()
     after: Counter[str] = Counter()
+    number: Counter[str] = Counter()
     for text in texts:
         if _mode(text) == "mixed":
             mid.update(_MID.findall(text))
             after.update(_AFTER_STOP.findall(text))
+            number.update(_AFTER_NUMBER.findall(text))
     out: dict[str, list[int]] = {}
-    for found, at in ((mid, 1), (after, 2)):
+    for found, at in ((mid, 1), (after, 2), (number, 3)):
         for word, n in found.items():
             small = word.islower()
             if not small or at == 1:
-                out.setdefault(word.lower(), [0, 0, 0])[0 if small else at] += n
-    return {w: (a, b, c) for w, (a, b, c) in out.items()}
+                out.setdefault(word.lower(), [0, 0, 0, 0])[0 if small else at] += n
+    return {w: (a, b, c, d) for w, (a, b, c, d) in out.items()}
+
+
+def after_numbers(counts: Iterable[tuple[str, int, int]], usual: float) -> Iterable[str]:
+    """From (word, times after full stops, of these after a number's): words before which a number's full stop ends nothing, such as months.
+
+    `usual`: the share of numbers' full stops before all words. A word that stands after a number at least every other time, where
+    so many times have a probability below CHANCE_NUMBER, is one.
+    """
+    return (w for w, n, d in counts if d and 2 * d >= n and d > n * usual and _tail(d, n, usual) < CHANCE_NUMBER)
 
 
 def abbreviations(counts: Iterable[tuple[str, int, int, int]], at_end: float) -> dict[str, str]:
@@ -129,11 +162,24 @@ def _at_most(k: int, n: int, p: float) -> float:
     return total
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """Probability of at least k hits in n trials at chance p, for k above n * p."""
+    if not 0 < p < 1:
+        return float(p >= 1)
+    total, last = 0.0, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p))
+    while k <= n and last > total * 1e-12:
+        total += last
+        last *= (n - k) * p / ((k + 1) * (1 - p))
+        k += 1
+    return total
+
+
 class Splitter:
-    """Splits texts, given what the corpus says about abbreviations, and the words that it has mostly in small letters."""
+    """Splits texts, given what the corpus says about abbreviations, the words that it has mostly in small letters, and those after numbers."""
 
-    def __init__(self, corpus: dict[str, str] | None = None, common: frozenset[str] = frozenset()):
-        self.corpus, self.common = corpus or {}, common
+    def __init__(self, corpus: dict[str, str] | None = None, common: Set[str] = frozenset(), numbered: Set[str] = frozenset()):
+        self.corpus, self.common, self.numbered = corpus or {}, common, numbered
+        self.reach = max(map(len, self.corpus), default=0) + 1
 
     def split(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of each sentence, in code points; together they hold every non-blank character. None for NULL or blank texts."""
@@ -337,8 +383,7 @@ class Splitter:
                 return False, small
             return gap or lead.isupper() or before.isspace() or lead.isalpha(), small
         # one full stop
-        token = _BEFORE.search(text, max(a, s - 40), s)
-        word = _GLUED.sub("", token[0]) if token else ""
+        word = _GLUED.sub("", _token(text, a, s, max(_REACH, self.reach, max(map(len, doc), default=0) + 1)))
         key = _key(word)
         if not gap:
             nxt = _WORDS.match(after)
@@ -352,18 +397,18 @@ class Splitter:
             return False, small
         if word.isdigit():
             nxt = _WORDS.match(after)
-            return not (len(word) <= 2 and nxt and nxt[0].lower() in _MONTHS), small
+            return not (len(word) <= 2 and nxt and nxt[0].lower() in self.numbered), small
         letters = re.sub(r"[\W\d_]", "", word)
         kind = self._kind(key, doc)
-        if letters and len(letters) <= 3 and all(len(p) <= 1 for p in re.split(r"[.\-‐]+", word)):
-            if mode == "mixed" and letters.isupper():
-                return False, small  # initials
+        if letters and len(letters) <= 3 and all(len(re.sub(r"\W", "", p)) <= 1 for p in re.split(r"[.\-‐]+", word)):
+            if mode == "mixed" and (letters.isupper() or letters.upper() == letters.lower()):
+                return False, small  # initials, also in scripts without case
             if mode != "mixed" and kind != "f":
                 return False, small
         if kind != "n":
             return True, small
-        if mode != "mixed" or lead.isdigit() or key in _TITLES:
-            return False, small
+        if mode != "mixed" or lead.isdigit() or word[:1].isupper() and _WITHIN.search(text, a, s - len(word)):
+            return False, small  # a capital within the sentence: a title, before a name
         # an abbreviation before a capital: a new sentence only if the word that follows is known in small letters
         rest = after.lstrip(_OPENERS)
         nxt = _WORDS.match(rest)
@@ -379,8 +424,8 @@ class Splitter:
         return known > 0 or known == 0 and low in self.common, small
 
     def _kind(self, key: str, doc: dict[str, str]) -> str:
-        """What the document says of a word, else the corpus, else the lists; empty if none knows it."""
-        return doc.get(key) or self.corpus.get(key) or ("f" if key in _OFTEN_LAST else "n" if key in _NEVER_LAST else "")
+        """What the document says of a word, else the corpus; empty if neither knows it."""
+        return doc.get(key) or self.corpus.get(key, "")
 
 
 @lru_cache(maxsize=1)

@@ -16,7 +16,7 @@ from loomdex.llm.language import fit, main_words, mixture, words
 from loomdex.llm.normal import normal_form
 from loomdex.llm.p8_mixture import balanced_sample, plan
 from loomdex.llm.packing import pack
-from loomdex.llm.sentences import Splitter, abbreviations
+from loomdex.llm.sentences import Splitter, abbreviations, after_numbers
 from loomdex.llm.tokens import count_tokens
 
 
@@ -200,6 +200,14 @@ def test_short_sentence_in_another_script(units):
         assert mixture(model.scores([*english, found], [True] * units + [whole]))[0] == [0]
 
 
+def split(text, *corpus):
+    return [text[a:b] for a, b in Splitter(*corpus).split(text)]
+
+
+#: What a corpus tells of the words in the cases below.
+ABBREVIATIONS = dict.fromkeys("mr fig i.e г ул z κ".split(), "n")
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
@@ -217,7 +225,7 @@ def test_short_sentence_in_another_script(units):
     ],
 )
 def test_sentences(text, want):
-    assert [text[a:b] for a, b in Splitter().split(text)] == want
+    assert split(text, ABBREVIATIONS, frozenset(), {"mai"}) == want
 
 
 @settings(max_examples=200, deadline=None)
@@ -254,21 +262,46 @@ def test_collisions(spark):
     assert sorted(r[0] for r in p2_seen.collided(arrivals).collect()) == [10, 11, 13, 14, 15]
 
 
-def split(text, *corpus):
-    return [text[a:b] for a, b in Splitter(*corpus).split(text)]
+def test_document_before_corpus():
+    text = "The xyz. of old, the xyz. of now. Here xyz. Gudeju waits."
+    assert split(text) == split(text, {"xyz": "f"}) == ["The xyz. of old, the xyz. of now.", "Here xyz. Gudeju waits."]
+    assert split("Here xyz. Gudeju waits.") == ["Here xyz.", "Gudeju waits."]  # no evidence in this document
+    assert split("Here xyz. Gudeju waits.", {"xyz": "n"}) == ["Here xyz. Gudeju waits."]
+    both = "Here xyz. Otter waits, as an otter does. Otter, I say, as to any otter."
+    assert split(both, {"xyz": "n"})[0] == "Here xyz."  # the document has the next word in small letters
+    assert len(split("The ABC-quartz. of old. Here ABC-quartz. Gudeju waits.")) == 2  # abbreviations of any length
+    long = "x" * 200 + "q"
+    assert split(f"The {long}. of old, the {long}. of now. Here {long}. Gudeju waits.")[-1] == f"Here {long}. Gudeju waits."
 
 
-def test_document_before_corpus_before_lists():
-    text = "The xyz. of old, the xyz. of now. Here xyz. Gudeju waits."
-    assert split(text, {"xyz": "f"}) == ["The xyz. of old, the xyz. of now.", "Here xyz. Gudeju waits."]
-    assert split("He ate a fig. Gudeju left.", {"fig": "f"}) == ["He ate a fig.", "Gudeju left."]
+def test_capital_within_a_sentence_marks_a_title():
+    assert len(split("The baker met Mr. Baker by the sea.", {"mr": "n"})) == 1
+    assert split("She said no. Baker, a baker, left.", {"no": "n"}) == ["She said no.", "Baker, a baker, left."]
+
+
+def test_months_after_numbers():
+    rows = [("mai", 40, 40), ("der", 4000, 30), ("gudeju", 1, 1), ("oktober", 9, 8)]
+    assert sorted(after_numbers(rows, 0.02)) == ["mai", "oktober"] and list(after_numbers([], 0.0)) == []
+    assert split("Am 25. Mai kam er. Am 5. Der Otter ging.", {}, frozenset(), {"mai"}) == ["Am 25. Mai kam er.", "Am 5.", "Der Otter ging."]
+
+
+@pytest.mark.parametrize("mark", ["د. Fimeka يجمع النهر هنا", "यहाँ डॉ. Sosaju गरम रोटी", "J. P. Lee sees it"])
+def test_initials_of_any_script(mark):
+    assert len(split(mark)) == 1
+
+
+def test_joined_evidence_gives_the_same(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "No id. Here.")], "doc_id long, text string"))
+    rows = [sorted(p9_sentences.sentences(docs, most_shared=n).collect(), key=repr) for n in (10**6, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) > 500
 
 
-@pytest.mark.parametrize("corpus", [{}, {"no": "n", "г": "n", "fig": "n"}])
-def test_sentences_that_end_with_abbreviations(corpus):
+def test_sentences_that_end_with_abbreviations():
+    corpus = {"no": "n", "г": "n", "fig": "n", "cf": "n"}
     assert split("She said no. Then they left, and then they slept.", corpus) == ["She said no.", "Then they left, and then they slept."]
     assert split("Это было в 1951 г. Он родился там.", corpus, frozenset({"он"})) == ["Это было в 1951 г.", "Он родился там."]
-    assert len(split("The baker met Mr. Baker by no. Gudeju, cf. Fig. 3 or fig. 4.", corpus)) == 1
+    assert len(split("The baker came by no. Gudeju, cf. Fig. 3 or fig. 4.", corpus)) == 1
     assert len(split("A rose by no. Rose and Rose, Rose there.", corpus, frozenset({"rose"}))) == 1  # mostly a name in this document
 
 
