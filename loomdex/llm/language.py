@@ -29,7 +29,7 @@ PENALTY, PENALTY_UNITS = 6.0, 1.0
 #: Words that a process remembers the scores of.
 REMEMBERED = 200_000
 
-_RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ؀-ۿऀ-ॿ฀-๿’'])*")
+_RUN = re.compile(r"(?:[^\W\d_]+[̀-ͯ؀-ۿऀ-ॿ฀-๿’']*)+")
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ々ー]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 
@@ -61,26 +61,35 @@ def words(text: str) -> list[str]:
 def main_words(text: str) -> tuple[list[str], bool]:
     """The words of a text's main script, and whether the text is in that script as a whole: no other script occurs, or Latin is the main
     one, and not all letters have doubles in another script."""
-    shared = shared_shapes(text)
+    found, single, main = script_words(text)
+    return found, bool(found) and (single or main == "latin") and (main in ("thai", "east") or not shared_shapes(text))
+
+
+def script_words(text: str) -> tuple[list[str], bool, str]:
+    """The words of a text's main script, whether no other script occurs, and which it is ('' for a text without words)."""
     text = text.lower()
     runs = _RUN.findall(text)
-    if _DENSE.search(text):
+    top = max(text, default="")
+    if top >= "฀" and _DENSE.search(text):
         runs = [part for run in runs for part in _parts(run)]
-    found: dict[str, list[str]] = {}
-    for run in runs:
-        found.setdefault(_script(run[0]), []).append(run)
-    if not found:
-        return [], False
-    main = "latin"
-    if len(found) > 1 or main not in found:
+    if not runs:
+        return [], True, ""
+    scripts = {"latin"} if top < "Ͱ" else {_script(ch) for ch in {run[0] for run in runs}}
+    if len(scripts) == 1:
+        main, own = next(iter(scripts)), runs
+    else:
+        found: dict[str, list[str]] = {}
+        for run in runs:
+            found.setdefault(_script(run[0]), []).append(run)
+        main = "latin"
         size = {k: sum(map(len, v)) for k, v in found.items()}
         latin = size.pop("latin", 0)
         if not (len(found.get("latin", ())) >= 3 and latin > 1.5 * sum(size.values())):
             main = max(size, key=size.__getitem__)
+        own = found[main]
     if main in ("thai", "east"):
-        return [part[i : i + 2] for part in found[main] for i in range(max(1, len(part) - 1))], len(found) == 1
-    whole = not shared and (len(found) == 1 or main == "latin")
-    return [w.strip("’'") for w in found[main]], whole
+        return [part[i : i + 2] for part in own for i in range(max(1, len(part) - 1))], len(scripts) == 1, main
+    return [w.strip("’'") for w in own] if "’" in text or "'" in text else own, len(scripts) == 1, main
 
 
 def _parts(run: str) -> Iterable[str]:
@@ -124,6 +133,10 @@ class LanguageModel:
         total -= total.max()
         return np.concatenate([np.logaddexp(total, KNOWN_FLOOR if word in self.known else UNKNOWN_FLOOR), total])
 
+    def written(self, word: str) -> np.ndarray:
+        """For each language, whether it is written in the word's script."""
+        return self.uses[self.script_at.get(_script(word[0]), 0) if word else 0]
+
     def _row(self, word: str) -> int:
         """Where the word's scores are remembered."""
         at = self.memory.get(word)

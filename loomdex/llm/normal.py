@@ -172,8 +172,23 @@ def shared_shapes(text: str) -> bool:
     return all(unicodedata.normalize("NFD", ch)[0] in _SHARED for ch in text if ch.isalpha())
 
 
-def normal_form(text: str | None) -> str:
-    """The form in which texts that look the same are equal; NULL gives the empty text. Applying it again changes nothing."""
+def is_stable(text: str) -> bool:
+    """Quick check: whether normalising the text, or a part of it, changes no character by itself."""
+    if text.isascii():
+        return bool(_PLAIN_ASCII.match(text))
+    return "\u0e4d" not in text and "\u0ecd" not in text and not _tables().any.search(text)
+
+
+def scripts_of(text: str) -> int:
+    """How many of the scripts with letters of the same shape the text has."""
+    return 1 if text.isascii() else sum(bool(p.search(text)) for p in _HAS.values())
+
+
+def normal_form(text: str | None, stable: bool = False) -> str:
+    """The form in which texts that look the same are equal; NULL gives the empty text. Applying it again changes nothing.
+
+    `stable`: the text is known to be so (is_stable), and only its look-alike letters are looked at.
+    """
     if not text or _PLAIN_ASCII.match(text):
         return text or ""
-    return _one_script(_thai_am(_stable_segments(text)))
+    return _one_script(text if stable else _thai_am(_stable_segments(text)))

@@ -62,7 +62,7 @@ def corpus_evidence(texts: DataFrame) -> DataFrame:
     return cut(found.mapInArrow(_decide(at_end, usual), "word string, kind string"))
 
 
-def _splitter(evidence) -> Splitter:
+def made_splitter(evidence) -> Splitter:
     """From (word, kind) pairs."""
     by: dict[str, set[str]] = {"c": set(), "o": set()}
     kinds = {}
@@ -88,7 +88,7 @@ def _rows(found: Iterator[tuple[int, list[tuple[int, int]]]]) -> pa.RecordBatch:
 
 def _split(evidence):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _splitter(evidence.value)
+        own = made_splitter(evidence.value)
         for batch in batches:
             yield _rows((i, own.split(text)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
 
@@ -98,7 +98,7 @@ def _split(evidence):
 def _split_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As _split, each text with the evidence that it asks for."""
     for batch in batches:
-        yield _rows((i, _splitter((t["word"], t["kind"]) for t in told or ()).split(text)) for i, text, told in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        yield _rows((i, made_splitter((t["word"], t["kind"]) for t in told or ()).split(text)) for i, text, told in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +107,17 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"digest": pa.array([d for d, _ in rows], pa.binary()), "word": pa.array([w for _, w in rows], pa.string())})
 
 
-def _joined(docs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Sentences where the evidence is too large to broadcast: it is joined by word to the distinct texts, then by digest to the rows."""
-    keyed = docs.where("text IS NOT NULL").withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+def with_evidence(docs: DataFrame, evidence: DataFrame, by: str) -> DataFrame:
+    """`docs` with `told`, what the evidence tells of the words that each row's `text` asks for: joined by word to the distinct texts, then by digest
+    to the rows, both with hot keys salted by column `by`. NULL texts count as empty."""
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     asked = cut(keyed.select("digest", "text").mapInArrow(_asked, "digest binary, word string").distinct())
     weight = asked.groupBy("word").agg(F.count("*").alias("n"))
     known = evidence.groupBy("word").agg(F.collect_list("kind").alias("kinds")).join(weight, "word")  # at most three kinds a word
     told = skew_join(asked, cut(known), ["word"], "n", asked.count(), F.col("digest")).select("digest", F.explode("kinds").alias("kind"), "word")
     each = told.groupBy("digest").agg(F.collect_list(F.struct("word", "kind")).alias("told"))  # no more than the words of one text
     texts = keyed.groupBy("digest").agg(F.count("*").alias("n")).join(each, "digest", "left")
-    return skew_join(keyed, cut(texts), ["digest"], "n", keyed.count(), F.coalesce("doc_id", F.lit(0))).select("doc_id", "text", "told").mapInArrow(_split_each, _FOUND)
+    return skew_join(keyed, cut(texts), ["digest"], "n", keyed.count(), F.coalesce(by, F.lit(0))).select(*docs.columns, "told")
 
 
 def sentences(docs: DataFrame, text: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
@@ -129,7 +130,7 @@ def sentences(docs: DataFrame, text: str = "text", most_shared: int = MOST_SHARE
     docs = spread(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")))
     evidence = corpus_evidence(docs.select("text"))
     if evidence.count() > most_shared:
-        return _joined(docs, evidence)
+        return with_evidence(docs, evidence, "doc_id").mapInArrow(_split_each, _FOUND)
     shared = docs.sparkSession.sparkContext.broadcast([(r["word"], r["kind"]) for r in evidence.collect()])
     return docs.mapInArrow(_split(shared), _FOUND)
 

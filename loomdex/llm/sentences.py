@@ -187,6 +187,7 @@ class Splitter:
             return []
         mode = _mode(text)
         doc = self._own(text) if mode == "mixed" and "." in text else {}
+        self.far = max(_REACH, self.reach, max(map(len, doc), default=0) + 1)
         small = None
         out: list[tuple[int, int]] = []
         for a, b in self._units(text, mode):
@@ -383,7 +384,11 @@ class Splitter:
                 return False, small
             return gap or lead.isupper() or before.isspace() or lead.isalpha(), small
         # one full stop
-        word = _GLUED.sub("", _token(text, a, s, max(_REACH, self.reach, max(map(len, doc), default=0) + 1)))
+        word = _token(text, a, s, self.far)
+        if len(word) > 3 and gap and word.isalpha() and doc.get(low := word.lower(), self.corpus.get(low)) != "n":
+            return not (mode == "mixed" and lead.islower()), small  # the usual case
+        if "." in word:
+            word = _GLUED.sub("", word)
         key = _key(word)
         if not gap:
             nxt = _WORDS.match(after)

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomdex.llm import p2_seen, p3_copies, p4_lookalike, p7_containers, p9_sentences
+from loomdex.llm import p1_language, p2_seen, p3_copies, p4_lookalike, p7_containers, p9_sentences
 from loomdex.llm.counters import last_seen
 from loomdex.llm.cube import flight, landing
 from loomdex.llm.golomb import GolombSet, GrowingGolombSet
@@ -181,6 +181,16 @@ def test_language_held_out(spark, data):
     assert len(mixture(model.scores([words(t) for t in by["de"]]))[0]) == 1
 
 
+def test_settled_documents_and_joined_evidence(spark, data):
+    """Documents settled without splitting have the languages that their segments have; joined evidence gives what the broadcast gives."""
+    read = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
+    docs, samples, codes = read("doc_store").where("doc_id % 3 = 0"), read("lang_samples"), read("lang_codes")
+    full = {(r["doc_id"], r["lang"]) for r in p1_language.segments(docs, samples, codes).collect() if r["lang"] and r["confidence"] > 0}
+    for most in (10**6, 0):
+        brief = p1_language.segments(docs, samples, codes, brief=True, most_shared=most).collect()
+        assert {(r["doc_id"], r["lang"]) for r in brief} == full and any(r["part"] is None for r in brief)
+
+
 def test_mixture_looks_beyond_four_candidates():
     scores = np.zeros((200, 6))
     scores[:, 1:5] = np.where(np.arange(200) < 100, 0.2, -5.0)[:, None]  # high bounds that no share reaches
