@@ -11,8 +11,10 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from loomdex.llm.normal import shared_shapes
 
@@ -31,7 +33,7 @@ REMEMBERED = 200_000
 
 _RUN = re.compile(r"(?:[^\W\d_]+[̀-ͯ؀-ۿऀ-ॿ฀-๿’']*)+")
 _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿ｦ-ﾟ々ー]+")
-_LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
+_BEYOND_LATIN = re.compile("[Ͱ-\U0010ffff]")
 
 
 @lru_cache(maxsize=1 << 14)
@@ -69,12 +71,12 @@ def script_words(text: str) -> tuple[list[str], bool, str]:
     """The words of a text's main script, whether no other script occurs, and which it is ('' for a text without words)."""
     text = text.lower()
     runs = _RUN.findall(text)
-    top = max(text, default="")
-    if top >= "฀" and _DENSE.search(text):
+    beyond = _BEYOND_LATIN.search(text)
+    if beyond and _DENSE.search(text):
         runs = [part for run in runs for part in _parts(run)]
     if not runs:
         return [], True, ""
-    scripts = {"latin"} if top < "Ͱ" else {_script(ch) for ch in {run[0] for run in runs}}
+    scripts = {"latin"} if not beyond else {_script(ch) for ch in {run[0] for run in runs}}
     if len(scripts) == 1:
         main, own = next(iter(scripts)), runs
     else:
@@ -110,7 +112,7 @@ class LanguageModel:
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray], known: frozenset[str], scripts: dict[str, np.ndarray]):
         self.langs, self.grams, self.known, self.scripts = langs, grams, known, scripts
         self.memory: dict[str, int] = {}
-        self.rows = np.zeros((1024, 2 * len(langs)))
+        self.rows = np.zeros((1024, len(langs)))
         self.script_at = {script: i for i, script in enumerate(scripts, 1)}
         self.uses = np.array([np.ones(len(langs), bool), *scripts.values()])  # any other script excludes no language
 
@@ -121,7 +123,7 @@ class LanguageModel:
         self.__init__(*state)
 
     def word(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word relative to its best language: bounded from below, so that no word alone settles a unit, then without bound."""
+        """Log-likelihood of a word relative to its best language, bounded from below, so that no word alone settles a unit."""
         total = np.zeros(len(self.langs))
         padded = f" {word} "
         for i in range(1, len(padded)):
@@ -131,7 +133,7 @@ class LanguageModel:
                     total += v
                     break
         total -= total.max()
-        return np.concatenate([np.logaddexp(total, KNOWN_FLOOR if word in self.known else UNKNOWN_FLOOR), total])
+        return np.logaddexp(total, KNOWN_FLOOR if word in self.known else UNKNOWN_FLOOR)
 
     def written(self, word: str) -> np.ndarray:
         """For each language, whether it is written in the word's script."""
@@ -150,24 +152,25 @@ class LanguageModel:
     def scores(self, units: list[list[str]], whole: list[bool] | None = None) -> np.ndarray:
         """One row of log-likelihoods per unit; zeros for a unit without words.
 
-        In a unit that is of one script as a whole (all are, if not told), a language of other scripts has its likelihood without bound.
+        In a unit that is of one script as a whole (all are, if not told), a language of other scripts has OTHER_SCRIPT at most.
         """
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()
         k = len(self.langs)
         out = np.zeros((len(units), k))
-        at = [self._row(w) for unit in units for w in unit]
-        if at:
+        # each distinct word is looked up once
+        coded = pa.array(chain.from_iterable(units), pa.string()).dictionary_encode()
+        at = np.array([self._row(w) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else ()
+        if len(at):
             sizes = np.array([len(u) for u in units])
             full = np.flatnonzero(sizes)
             sums = np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[full], axis=0)
-            bounded, free = sums[:, :k], sums[:, k:]
             one = np.ones(len(full), bool) if whole is None else np.array(whole)[full]
             heads = [units[i][0] for i in full]
             used = self.uses[[self.script_at.get(_script(h[0]), 0) if h else 0 for h in heads]]
             letters = (sizes[full] > 1) | np.fromiter((len(h) > 1 for h in heads), bool, len(heads))
             least = np.where(letters, OTHER_SCRIPT, 0.0)[:, None]
-            out[full] = np.where(one[:, None] & ~used, np.minimum(free, least), bounded)
+            out[full] = np.where(one[:, None] & ~used, np.minimum(sums, least), sums)
         return out
 
 

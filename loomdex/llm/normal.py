@@ -81,7 +81,7 @@ class _Tables:
     def __init__(self) -> None:
         self.fold, check, marks = _foldings()
         u, m = _class(check | set(self.fold)), _class(marks - check - set(self.fold))
-        self.any = re.compile(f"[{u}]|[{m}]{{2}}")
+        self.folded = re.compile(f"[{_class(set(self.fold))}]")
         self.segment = re.compile(f"[^{u}{m}]?[{m}]*[{u}][{u}{m}]*|[^{u}{m}]?[{m}]{{2,}}")
 
 
@@ -103,10 +103,15 @@ _PAUSE = re.compile(r"[.!?;:|\n\r。]")
 _PLAIN_ASCII = re.compile(r"[\t-\r -~]*\Z")
 
 
+def _quick_check(text: str) -> bool:
+    """Whether every character is stable: composed, in canonical order, and without a folding."""
+    return unicodedata.is_normalized("NFC", text) and not _tables().folded.search(text)
+
+
 def _stable_segments(text: str) -> str:
-    t = _tables()
-    if not t.any.search(text):
+    if _quick_check(text):
         return text
+    t = _tables()
     return t.segment.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(t.fold)), text)
 
 
@@ -176,7 +181,7 @@ def is_stable(text: str) -> bool:
     """Quick check: whether normalising the text, or a part of it, changes no character by itself."""
     if text.isascii():
         return bool(_PLAIN_ASCII.match(text))
-    return "\u0e4d" not in text and "\u0ecd" not in text and not _tables().any.search(text)
+    return "\u0e4d" not in text and "\u0ecd" not in text and _quick_check(text)
 
 
 def scripts_of(text: str) -> int:
