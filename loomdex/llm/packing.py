@@ -5,8 +5,8 @@ from __future__ import annotations
 import random
 from bisect import bisect_left, insort
 
-#: Islands of a cell, individuals of an island, generations, and generations between migrations.
-ISLANDS, INDIVIDUALS, GENERATIONS, MIGRATION = 3, 4, 12, 3
+#: Individuals of an island, and generations between two migrations.
+INDIVIDUALS, GENERATIONS = 4, 6
 
 Bins = list[list[int]]
 
@@ -64,37 +64,38 @@ def mutate(a: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins
     return child
 
 
-def pack(sizes: list[int], capacity: int, seed: int, generations: int = GENERATIONS) -> Bins:
-    """Bins of item numbers; every item stands in exactly one and no bin exceeds the capacity, which no item may exceed.
+def first_packing(sizes: list[int], capacity: int) -> Bins:
+    """Best fit, falling by size: bins of item numbers. No item may exceed the capacity."""
+    return _new(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)
 
-    Ends early once there are as few bins as the total allows and all but one are full to the last unit, or none can be saved.
+
+def rank(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
+    """What evolution lowers: the number of bins, then the emptiness of the fullest."""
+    return len(bins), -fitness(bins, sizes, capacity)
+
+
+def best_possible(bins: Bins, sizes: list[int], capacity: int) -> bool:
+    """Whether no packing ranks higher: all bins but one are full to the last unit."""
+    return sum(sum(sizes[i] for i in b) < capacity for b in bins) < 2
+
+
+def evolve(people: list[Bins], sizes: list[int], capacity: int, seed: int, generations: int = GENERATIONS) -> Bins:
+    """One island's best packing after some generations, from the packings it has, own or immigrant, and random ones. Never ranks lower than those.
+
+    Ends early only where no packing ranks higher.
     """
-    if not sizes:
-        return []
-    least = max(1, -(-sum(sizes) // capacity))
     rng = random.Random(seed)
     falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    first = _new(falling, sizes, capacity)
-    if len(first) <= least:
-        return first
-    islands = []
-    for _ in range(ISLANDS):
-        people = [first]
-        while len(people) < INDIVIDUALS:
-            people.append(_new(sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.7, 1.3)), sizes, capacity))
-        islands.append(sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(people)), reverse=True))
+    people = [[list(b) for b in p] for p in people]
+    while len(people) < INDIVIDUALS:
+        people.append(_new(sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.7, 1.3)), sizes, capacity))
+    island = sorted(((rank(p, sizes, capacity), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])[:INDIVIDUALS]
     for g in range(generations):
-        for island in islands:
-            a, b = rng.sample(island[: max(2, INDIVIDUALS // 2 + 1)], 2)
-            for child in (cross(a[2], b[2], sizes, capacity, rng), mutate(a[2], sizes, capacity, rng)):
-                island.append((fitness(child, sizes, capacity), g + INDIVIDUALS, child))
-            island.sort(key=lambda x: -x[0])
-            del island[INDIVIDUALS:]
-        if g % MIGRATION == MIGRATION - 1:
-            elite = [island[0] for island in islands]
-            for k, island in enumerate(islands):
-                island[-1] = elite[k - 1]
-                island.sort(key=lambda x: -x[0])
-        if min(len(island[0][2]) for island in islands) <= least:
+        if best_possible(island[0][2], sizes, capacity):
             break
-    return max((island[0] for island in islands), key=lambda x: (-len(x[2]), x[0]))[2]
+        a, b = rng.sample(island[: max(2, INDIVIDUALS // 2 + 1)], 2)
+        for child in (cross(a[2], b[2], sizes, capacity, rng), mutate(a[2], sizes, capacity, rng)):
+            island.append((rank(child, sizes, capacity), INDIVIDUALS + g, child))
+        island.sort(key=lambda x: x[:2])
+        del island[INDIVIDUALS:]
+    return island[0][2]

@@ -15,7 +15,7 @@ from loomdex.llm.golomb import GolombSet, GrowingGolombSet
 from loomdex.llm.language import fit, main_words, mixture, words
 from loomdex.llm.normal import normal_form
 from loomdex.llm.p8_mixture import balanced_sample, plan
-from loomdex.llm.packing import pack
+from loomdex.llm.packing import evolve, first_packing
 from loomdex.llm.sentences import Splitter, abbreviations, after_numbers
 from loomdex.llm.tokens import count_tokens
 
@@ -322,32 +322,48 @@ def test_rare_abbreviation_of_a_large_corpus(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 100), max_size=60), st.integers(0, 5))
+@given(st.lists(st.integers(0, 100), min_size=1, max_size=60), st.integers(0, 5))
 def test_packing(sizes, seed):
-    bins = pack(sizes, 100, seed)
+    start = first_packing(sizes, 100)
+    bins = evolve([start], sizes, 100, seed)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
-    assert len(bins) <= max(1, len(sizes))
+    assert len(bins) <= len(start)
 
 
-def test_packing_beats_first_fit():
+def _exact_bins():
     rng = random.Random(0)
     sizes = []
     for _ in range(40):  # bins that can be filled exactly
         a, b = rng.randint(20, 45), rng.randint(15, 35)
         sizes += [a, b, 100 - a - b]
-    assert len(pack(sizes, 100, 1)) <= 42
+    return sizes
+
+
+def test_evolution_beats_best_fit():
+    sizes = _exact_bins()
+    assert len(evolve([first_packing(sizes, 100)], sizes, 100, 1, generations=24)) < len(first_packing(sizes, 100))
+
+
+def test_islands_beat_best_fit(spark):
+    sizes = _exact_bins()
+    items = spark.createDataFrame([("c", 100, i, 0, n) for i, n in enumerate(sizes)], "container string, capacity long, doc_id long, part int, tokens long")
+    rows, figures = p7_containers.pack_items(items)
+    assert rows.select("bin").distinct().count() < len(first_packing(sizes, 100)) and figures["c"]["bins_saved"] > 0 and figures["c"]["cells_evolved"] == 1
 
 
 def test_a_container_goes_on_whatever_others_do(spark):
     rng = random.Random(5)
     easy = [("easy", 100, i, 0, rng.randint(5, 45)) for i in range(1500)]
     hard = [("hard", 100, i, 0, 60) for i in range(3000)]
-    both = p7_containers.pack_items(spark.createDataFrame(easy + hard, "container string, capacity long, doc_id long, part int, tokens long"), cell=32, kept_fill=0.97).collect()
-    alone = p7_containers.pack_items(spark.createDataFrame(easy, "container string, capacity long, doc_id long, part int, tokens long"), cell=32, kept_fill=0.97).collect()
+    kind = "container string, capacity long, doc_id long, part int, tokens long"
+    both, figures = p7_containers.pack_items(spark.createDataFrame(easy + hard, kind), cell=32, kept_fill=0.97)
+    alone = p7_containers.pack_items(spark.createDataFrame(easy, kind), cell=32, kept_fill=0.97)[0].collect()
+    both = both.collect()
     assert len(both) == len({(r["container"], r["doc_id"]) for r in both}) == 4500
     assert sorted(tuple(r) for r in both if r["container"] == "easy") == sorted(tuple(r) for r in alone)
-    assert len({r["bin"] for r in both if r["container"] == "hard"}) == 3000
+    assert len({r["bin"] for r in both if r["container"] == "hard"}) == 3000 and figures["hard"]["rounds"] == 2
+    assert len({r["bin"] for r in alone}) <= 1.02 * sum(r["tokens"] for r in alone) / 100
 
 
 def test_cube_flight_keeps_totals():
