@@ -12,7 +12,7 @@ from __future__ import annotations
 import zlib
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +25,45 @@ CELL, KEPT_FILL = 1024, 0.995
 #: Islands of a cell, and epochs, between which the elites migrate.
 ISLANDS, EPOCHS = 3, 2
 _ITEM = ["container", "capacity", "doc_id", "part", "tokens"]
+_PACKED_SCHEMA = pa.schema([("container", pa.string()), ("capacity", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("tokens", pa.int64()), ("cell", pa.int32()), ("bin", pa.string()), ("fill", pa.float64())])
+_ELITE_SCHEMA = pa.schema([*_PACKED_SCHEMA, pa.field("island", pa.int32()), pa.field("bins", pa.int32()), pa.field("emptiness", pa.float64())])
 _PACKED = "container string, capacity long, doc_id long, part int, tokens long, cell int, bin string, fill double"
-_ELITE = "container string, capacity long, doc_id long, part int, tokens long, cell int, island int, bin string, fill double, bins int, emptiness double"
+_ELITE = f"{_PACKED}, island int, bins int, emptiness double"
 
 
-def _labelled(items: pd.DataFrame, bins: Bins, sizes: list[int], capacity: int, name: str) -> pd.DataFrame:
-    label, fill = [""] * len(items), [0.0] * len(items)
+Item = tuple[int, int, int]  # tokens, doc_id, part
+
+
+def _labelled(key: tuple, capacity: int, items: list[Item], bins: Bins, name: str, schema: pa.Schema, *more) -> pa.Table:
+    """The rows of a packed cell; `more` are the values of the last columns, the same for every row."""
+    n = len(items)
+    label, fill = [""] * n, [0.0] * n
     for k, b in enumerate(bins):
-        full = sum(sizes[i] for i in b) / capacity
+        full = sum(items[i][0] for i in b) / capacity
         for i in b:
             label[i], fill[i] = f"{name}-{k}", full
-    return items.assign(bin=label, fill=fill)
+    tokens, ids, parts = (list(x) for x in zip(*items, strict=True))
+    columns = [[key[0]] * n, [capacity] * n, ids, parts, tokens, [key[1]] * n, label, fill, *[[x] * n for x in more]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _items(rows: pa.Table) -> tuple[list[Item], int]:
+    """The rows' items as they come, and the capacity."""
+    return list(zip(*(rows.column(x).to_pylist() for x in ("tokens", "doc_id", "part")), strict=True)), rows.column("capacity")[0].as_py()
+
+
+def _falling(item: Item) -> Item:
+    return -item[0], item[1], item[2]
 
 
 def _start(round_no: int):
     """Packs a cell by best fit."""
 
-    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True]).reset_index(drop=True)
-        capacity, sizes = int(items["capacity"].iloc[0]), [int(x) for x in items["tokens"]]
-        return _labelled(items.assign(cell=key[1]), first_packing(sizes, capacity), sizes, capacity, f"{round_no}-{key[1]}")[[*_ITEM, "cell", "bin", "fill"]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        key = tuple(k.as_py() for k in key)
+        items, capacity = _items(rows)
+        items.sort(key=_falling)
+        return _labelled(key, capacity, items, first_packing([i[0] for i in items], capacity), f"{round_no}-{key[1]}", _PACKED_SCHEMA)
 
     return run
 
@@ -52,21 +71,18 @@ def _start(round_no: int):
 def _island(round_no: int, epoch: int):
     """An epoch of one island of one cell. Its rows are those of each packing it has, told apart by `origin`."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        container, cell, island = key
-        rows = rows.sort_values(["origin", "tokens", "doc_id", "part"], ascending=[True, False, True, True])
-        people: list[Bins] = []
-        for _, own in rows.groupby("origin"):  # each holds the same items in the same order
-            by: dict[str, list[int]] = {}
-            for i, b in enumerate(own["bin"]):
-                by.setdefault(b, []).append(i)
-            people.append(list(by.values()))
-        items = own[_ITEM].reset_index(drop=True)
-        capacity, sizes = int(items["capacity"].iloc[0]), [int(x) for x in items["tokens"]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        container, cell, island = (k.as_py() for k in key)
+        every, capacity = _items(rows)
+        packings: dict[int, dict[str, list[Item]]] = {}
+        for item, origin, label in zip(every, rows.column("origin").to_pylist(), rows.column("bin").to_pylist(), strict=True):
+            packings.setdefault(origin, {}).setdefault(label, []).append(item)
+        items = sorted((i for b in packings[min(packings)].values() for i in b), key=_falling)
+        at = {item: i for i, item in enumerate(items)}
+        people = [[sorted(at[i] for i in b) for _, b in sorted(packings[o].items())] for o in sorted(packings)]
+        sizes = [i[0] for i in items]
         best = evolve(people, sizes, capacity, zlib.crc32(f"{container}-{round_no}-{cell}-{island}-{epoch}".encode()))
-        bins, emptiness = rank(best, sizes, capacity)
-        found = _labelled(items, best, sizes, capacity, f"{round_no}-{cell}-{epoch}-{island}")
-        return found.assign(cell=cell, island=island, bins=bins, emptiness=emptiness)[[x.split()[0] for x in _ELITE.split(", ")]]
+        return _labelled((container, cell), capacity, items, best, f"{round_no}-{cell}-{epoch}-{island}", _ELITE_SCHEMA, island, *rank(best, sizes, capacity))
 
     return run
 
@@ -76,7 +92,7 @@ def _evolved(taken: DataFrame, round_no: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))
     people = taken.withColumn("target", every).withColumn("origin", F.lit(0))
     for epoch in range(EPOCHS):
-        elites = people.groupBy("container", "cell", "target").applyInPandas(_island(round_no, epoch), _ELITE)
+        elites = people.groupBy("container", "cell", "target").applyInArrow(_island(round_no, epoch), _ELITE)
         stays, goes = F.struct(F.col("island").alias("target"), F.lit(0).alias("origin")), F.struct(((F.col("island") + 1) % ISLANDS).alias("target"), F.lit(1).alias("origin"))
         people = elites.withColumn("to", F.explode(F.array(stays, goes))).select("*", "to.target", "to.origin")
     best = F.min(F.struct("bins", "emptiness", "island")).over(Window.partitionBy("container", "cell"))  # over the islands of one cell
@@ -107,7 +123,7 @@ def pack_items(items: DataFrame, cell: int = CELL, kept_fill: float = KEPT_FILL)
         cells = {c: max(1, -(-n // cell)) for c, n in left.items()}
         n_cells = F.create_map(*[x for c, n in cells.items() for x in (F.lit(c), F.lit(n))])[F.col("container")] if cells else F.lit(1)
         dealt = rest.select(*_ITEM).withColumn("cell", F.pmod(F.xxhash64("doc_id", "part", F.lit(round_no)), n_cells).cast("int"))
-        start = cut(dealt.groupBy("container", "cell").applyInPandas(_start(round_no), _PACKED))
+        start = cut(dealt.groupBy("container", "cell").applyInArrow(_start(round_no), _PACKED))
         first = {r["container"]: r for r in _counts(start, kept_fill).collect()}
         packed = cut(start.where(F.col("fill") >= kept_fill).unionByName(_evolved(start.where(F.col("fill") < kept_fill), round_no)))
         now = {r["container"]: r for r in _counts(packed, kept_fill).collect()}
