@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +15,30 @@ from loomdex.plans.query import Leaf, Prefix, Query, Term, Wildcard, parse
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """documents: doc_id, external_id, title, content of live documents; terms: (doc_id, terms); posts: (term, doc_id), which may hold removed ids."""
+    """documents: doc_id, external_id, title, content of live documents; terms: (doc_id, terms); posts: (term, doc_id), which may hold ids of
+    removed documents, those of `removed` (doc_id)."""
 
     documents: DataFrame
     posts: DataFrame
     terms: DataFrame | None = None
     language: str = "mixed"
     stemmed: bool = True
+    removed: DataFrame | None = None
+
+    def live(self, found: DataFrame) -> DataFrame:
+        """`found`, of the postings, without removed documents."""
+        return found if self.removed is None else found.join(self.removed.select("doc_id"), "doc_id", "left_anti")
+
+    def without(self, external_ids: DataFrame) -> tuple[SearchIndex, DataFrame]:
+        """The index without the documents of the external ids (external_id), and for each of these, once, whether it existed."""
+        asked = external_ids.select(F.coalesce("external_id", F.lit("")).alias("external_id")).distinct()
+        own = F.coalesce("external_id", F.lit(""))
+        gone = self.documents.select("doc_id", own.alias("external_id")).join(asked, "external_id", "left_semi")
+        told = asked.join(gone.select("external_id").distinct().withColumn("existed", F.lit(True)), "external_id", "left").select("external_id", F.coalesce("existed", F.lit(False)).alias("existed"))
+        removed = gone.select("doc_id") if self.removed is None else gone.select("doc_id").union(self.removed.select("doc_id"))
+        kept = self.documents.join(gone.select("doc_id"), "doc_id", "left_anti")
+        terms = self.terms.join(gone.select("doc_id"), "doc_id", "left_anti") if self.terms is not None else None
+        return replace(self, documents=kept, terms=terms, removed=removed), told
 
     def universe(self) -> DataFrame:
         return self.documents.select("doc_id")
@@ -31,22 +48,25 @@ class SearchIndex:
         tree = parse(query) if isinstance(query, str) else query
         if plan == "scan":
             return scan(tree, self.terms, self.stemmed)
-        return (relational if plan == "relational" else flags)(tree, self.posts, self.universe(), self.stemmed)
+        return (relational if plan == "relational" else flags)(tree, self.posts, self.universe(), self.stemmed, self.live)
+
+    def ascending(self, query: str | Query, plan: str = "flags") -> DataFrame:
+        """The ids in ascending order."""
+        return self.ids(query, plan).orderBy("doc_id")
 
     def search(self, query: str | Query, plan: str = "flags") -> DataFrame:
         """The documents themselves, ascending by id, neither ranked nor cut."""
         return self.get_documents(self.ids(query, plan))
 
     def lookup(self, leaf: Leaf) -> DataFrame:
-        hits = self.posts.where(predicate(leaf, self.stemmed)(F.col("term"))).select("doc_id").distinct()
-        return hits.join(self.universe(), "doc_id", "left_semi")
+        return self.live(self.posts.where(predicate(leaf, self.stemmed)(F.col("term"))).select("doc_id").distinct())
 
     def term(self, word: str) -> DataFrame:
         return self.lookup(Term(word))
 
     def raw_term(self, term: str) -> DataFrame:
         """By the term as it stands in the index."""
-        return self.posts.where(F.col("term") == F.lit(term)).select("doc_id").join(self.universe(), "doc_id", "left_semi")
+        return self.live(self.posts.where(F.col("term") == F.lit(term)).select("doc_id"))
 
     def prefix(self, word: str) -> DataFrame:
         return self.lookup(Prefix(word))
@@ -63,7 +83,7 @@ class SearchIndex:
 
     def vocabulary(self) -> DataFrame:
         """Distinct terms of live documents."""
-        return self.posts.join(self.universe(), "doc_id", "left_semi").select("term").distinct()
+        return self.live(self.posts).select("term").distinct()
 
     def kgrams(self) -> DataFrame:
         """(gram, term) of the vocabulary."""

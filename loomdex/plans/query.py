@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -33,22 +34,27 @@ class Wildcard:
         return self.pattern
 
 
-@dataclass(frozen=True)
-class And:
-    left: Query
-    right: Query
+@dataclass(frozen=True, init=False)
+class _Chain:
+    """Two or more parts under one operator, as read from left to right."""
+
+    parts: tuple[Query, ...]
+
+    def __init__(self, *parts: Query):
+        first = parts[0]
+        # what begins with a chain of the same kind goes on with it, so long chains don't nest
+        object.__setattr__(self, "parts", (*first.parts, *parts[1:]) if type(first) is type(self) else parts)
 
     def __str__(self) -> str:
-        return f"({self.left} AND {self.right})"
+        return text_of(self)
 
 
-@dataclass(frozen=True)
-class Or:
-    left: Query
-    right: Query
+class And(_Chain):
+    word = "AND"
 
-    def __str__(self) -> str:
-        return f"({self.left} OR {self.right})"
+
+class Or(_Chain):
+    word = "OR"
 
 
 @dataclass(frozen=True)
@@ -56,12 +62,46 @@ class Not:
     inner: Query
 
     def __str__(self) -> str:
-        return f"NOT {self.inner}"
+        return text_of(self)
 
 
 Leaf = Term | Prefix | Wildcard
 Query = Leaf | And | Or | Not
 
+
+def fold(query: Query, leaf: Callable, node: Callable):
+    """The query's value from the bottom up: `leaf` gives that of a leaf, `node` that of a chain or negation from the list of its parts' values.
+
+    Works with a stack of its own, so a query may nest as deep as it likes.
+    """
+    todo: list[tuple[Query, bool]] = [(query, False)]
+    done: list = []
+    while todo:
+        at, ready = todo.pop()
+        parts = at.parts if isinstance(at, _Chain) else (at.inner,) if isinstance(at, Not) else ()
+        if not parts:
+            done.append(leaf(at))
+        elif ready:
+            values = done[-len(parts) :]
+            del done[-len(parts) :]
+            done.append(node(at, values))
+        else:
+            todo.append((at, True))
+            todo += [(p, False) for p in reversed(parts)]
+    return done[0]
+
+
+def text_of(query: Query) -> str:
+    """The tree as text, every two parts of a chain in parentheses."""
+
+    def node(at: Query, values: list[str]) -> str:
+        if isinstance(at, Not):
+            return f"NOT {values[0]}"
+        return "(" * (len(values) - 1) + values[0] + "".join(f" {at.word} {v})" for v in values[1:])
+
+    return fold(query, str, node)
+
+
 #: Python counts these separators as blanks, the query language doesn't.
 _NOT_BLANK = "\x1c\x1d\x1e\x1f"
 
@@ -79,72 +119,64 @@ def leaf(token: str) -> Leaf:
     return Prefix(token[:-1]) if len(token) > 1 and token.find("*") == len(token) - 1 else Wildcard(token)
 
 
-class _Reader:
-    def __init__(self, tokens: list[str]):
-        self.tokens, self.at = tokens, 0
-
-    def word(self, keyword: str) -> bool:
-        """Steps over the keyword, in any letter case, if it comes next."""
-        if self.at < len(self.tokens) and self.tokens[self.at].upper() == keyword:
-            self.at += 1
-            return True
-        return False
-
-    def chain(self, keyword: str, node: type, part) -> Query:
-        out = part()
-        while self.word(keyword):
-            out = node(out, part())
-        return out
-
-    def either(self) -> Query:
-        return self.chain("OR", Or, self.both)
-
-    def both(self) -> Query:
-        return self.chain("AND", And, self.negated)
-
-    def negated(self) -> Query:
-        depth = 0
-        while self.word("NOT"):
-            depth += 1
-        out = self.single()
-        for _ in range(depth):
-            out = Not(out)
-        return out
-
-    def single(self) -> Query:
-        if self.at >= len(self.tokens):
-            raise QueryError("unexpected end of query")
-        if not self.word("("):
-            self.at += 1
-            return leaf(self.tokens[self.at - 1])
-        out = self.either()
-        if not self.word(")"):
-            raise QueryError("expected closing parenthesis")
-        return out
-
-
 def parse(text: str) -> Query:
     """The query's tree; AND binds more than OR, both to the left. There is no implied operator between two words."""
-    reader = _Reader(lex(text))
-    if not reader.tokens:
+    tokens = lex(text)
+    if not tokens:
         raise QueryError("empty query")
-    out = reader.either()
-    if reader.at < len(reader.tokens):
-        raise QueryError(f"unexpected token at position {reader.at}: {reader.tokens[reader.at]}")
-    return out
+    # of every open parenthesis: the parts of its OR chain, those of the AND chain at work, and the NOTs before the next operand
+    levels: list[tuple[list[Query], list[Query], int]] = [([], [], 0)]
+    operand = True  # whether an operand comes next
+    for at, token in enumerate(tokens):
+        word = token.upper()
+        ors, ands, nots = levels[-1]
+        if operand and word == "NOT":
+            levels[-1] = ors, ands, nots + 1
+        elif operand and token == "(":
+            levels.append(([], [], 0))
+        elif operand:
+            ands.append(_negated(leaf(token), nots))
+            levels[-1], operand = (ors, ands, 0), False
+        elif word == "AND":
+            operand = True
+        elif word == "OR":
+            ors.append(_chain(And, ands))
+            levels[-1], operand = (ors, [], 0), True
+        elif token == ")" and len(levels) > 1:
+            levels.pop()
+            inner = _chain(Or, [*ors, _chain(And, ands)])
+            ors, ands, nots = levels[-1]
+            ands.append(_negated(inner, nots))
+            levels[-1] = ors, ands, 0
+        elif len(levels) > 1:
+            raise QueryError("expected closing parenthesis")
+        else:
+            raise QueryError(f"unexpected token at position {at}: {token}")
+    if operand:
+        raise QueryError("unexpected end of query")
+    if len(levels) > 1:
+        raise QueryError("expected closing parenthesis")
+    ors, ands, _ = levels[0]
+    return _chain(Or, [*ors, _chain(And, ands)])
+
+
+def _negated(query: Query, times: int) -> Query:
+    for _ in range(times):
+        query = Not(query)
+    return query
+
+
+def _chain(kind: type, parts: list[Query]) -> Query:
+    return parts[0] if len(parts) == 1 else kind(*parts)
 
 
 def leaves(query: Query) -> list[Leaf]:
     """Distinct leaves, from left to right."""
-    if isinstance(query, And | Or):
-        return list(dict.fromkeys([*leaves(query.left), *leaves(query.right)]))
-    return leaves(query.inner) if isinstance(query, Not) else [query]
+    out: dict[Leaf, None] = {}
+    fold(query, lambda leaf: out.setdefault(leaf), lambda at, values: None)
+    return list(out)
 
 
-def holds(query: Query, truth) -> bool:
+def holds(query: Query, truth: Callable[[Leaf], bool]) -> bool:
     """The query's value, given each leaf's."""
-    if isinstance(query, And):
-        return holds(query.left, truth) and holds(query.right, truth)
-    if isinstance(query, Or):
-        return holds(query.left, truth) or holds(query.right, truth)
-    return not holds(query.inner, truth) if isinstance(query, Not) else truth(query)
+    return fold(query, truth, lambda at, v: not v[0] if isinstance(at, Not) else all(v) if isinstance(at, And) else any(v))

@@ -25,10 +25,12 @@ def local_session(cores: int | str = 8, name: str = "loomdex") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder all executors share: the session's spark.checkpoint.dir; only where that is unset in local mode (tests) one of our own."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     own = os.path.abspath(os.path.join("spark-warehouse", "checkpoints"))
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -52,12 +54,19 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+#: Nodes of plans that are parted anew by a shuffle already.
+_SHUFFLING = ("Aggregate ", "Join ", "Window ", "Sort ", "Repartition", "RebalancePartitions", "Deduplicate", "Distinct", "GlobalLimit", "Intersect", "Except")
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Even out a scan that has fewer partitions than the cluster has slots, before work that is heavy per row.
 
     A large table is read in many more splits than there are slots and passes through unchanged, without a shuffle.
     """
     want = slots(df.sparkSession)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in _SHUFFLING):
+        return df  # counting its partitions would run it
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(2 * want, key) if key else df.repartition(2 * want)
