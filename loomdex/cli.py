@@ -1,14 +1,17 @@
-"""A small command line over an index: python -m loomdex.cli [folder] [language]."""
+"""A small command line over an index: python -m loomdex.cli [folder] [language]; without arguments it asks for both."""
 
 from __future__ import annotations
 
+import itertools
 import sys
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomdex.plans.query import QueryError
-from loomdex.session import local_session
+from loomdex.session import local_session, shared_dir
 from loomdex.sources.demo import QUERIES, demo_documents
 from loomdex.sources.store import IndexStore
 
@@ -18,7 +21,8 @@ HELP = """Commands:
   remove <id>                    remove a document
   list                           all documents
   stats                          figures of the index
-  flush                          compact the segments on disk
+  flush                          make changes durable (they are, as soon as made)
+  compact                        merge the segments on disk
   demo                           load ten documents
   help, exit
 Queries: term, prefix*, wi*ld*card, AND, OR, NOT and parentheses"""
@@ -43,7 +47,7 @@ class Session:
     def _one(self, **row: str) -> DataFrame:
         return self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
 
-    def run(self, line: str) -> list[str] | None:
+    def run(self, line: str) -> Iterable[str] | None:
         """What a line of input prints; None at the end."""
         line = line.strip()
         if not line:
@@ -72,25 +76,31 @@ class Session:
     def _do_search(self, rest: str) -> list[str]:
         index = self.store.index()
         try:
-            found = type(index)(index.get_documents(index.ids(rest)), index.posts).listing(80).collect()
+            found = index.get_documents(index.ids(rest))
         except QueryError as e:
             return [f"Search error: {e}"]
-        if not found:
-            return ["No documents found"]
-        return [f"Found {len(found)} document(s):", *[line for r in found for line in (f"  [{r['doc_id']}] {r['title']}", f"      {r['content']}")]]
+        return self._listed(type(index)(found, index.posts).listing(80), "Found {} document(s):", "No documents found", "  [{0}] {1}\n      {2}")
+
+    def _listed(self, rows: DataFrame, head: str, none: str, line: str) -> Iterable[str]:
+        """Lines of a listing, a partition of it at a time on the driver."""
+        n = rows.count()
+        return itertools.chain([head.format(n)], (x for r in rows.toLocalIterator() for x in line.format(*r).split("\n"))) if n else [none]
 
     def _do_remove(self, rest: str) -> list[str]:
-        self.store.remove(self._one(external_id=rest))
-        return [f"Removed document '{rest}'"]
+        existed = self.store.remove(self._one(external_id=rest)).first()["existed"]
+        return [f"Removed document '{rest}'" if existed else f"No document '{rest}'"]
 
-    def _do_list(self, _: str) -> list[str]:
-        rows = self.store.index().listing().collect()
-        return [f"Documents in index: {len(rows)}", *[f"  [{r['doc_id']}] {r['title']}: {r['content']}" for r in rows]] if rows else ["No documents in index"]
+    def _do_list(self, _: str) -> Iterable[str]:
+        rows = self.store.index().listing().withColumn("content", F.regexp_replace("content", r"[\r\n]+", " "))
+        return self._listed(rows, "Documents in index: {}", "No documents in index", "  [{0}] {1}: {2}")
 
     def _do_stats(self, _: str) -> list[str]:
         return [f"  {k}: {v}" for k, v in self.store.stats().first().asDict().items()]
 
     def _do_flush(self, _: str) -> list[str]:
+        return ["Nothing to flush: every change is durable"]
+
+    def _do_compact(self, _: str) -> list[str]:
         self.store.compact()
         return ["Index compacted"]
 
@@ -99,16 +109,37 @@ class Session:
         return ["Loaded the demonstration documents. Try these searches:", *[f"  search {q}" for q in QUERIES]]
 
 
-def main(lines: Iterable[str], folder: str, language: str | None) -> None:
+def choices(lines: Iterator[str], say=print) -> tuple[str | None, str | None]:
+    """Folder and language as answered; no folder stands for an index that is gone at the end."""
+    say("Index: 1 in memory, 2 on disk [1]")
+    folder = None
+    if next(lines, "").strip() == "2":
+        say("Folder [index_data]")
+        folder = next(lines, "").strip() or "index_data"
+    say("Language: english, russian, mixed [mixed]")
+    return folder, next(lines, "").strip().lower() or None
+
+
+def main(lines: Iterable[str], folder: str | None = None, language: str | None = None) -> None:
+    lines = iter(lines)
+    if folder is None:
+        folder, language = choices(lines)
     spark = local_session()
-    session = Session(spark, IndexStore(spark, folder, language))
+    passing = folder is None
+    session = Session(spark, IndexStore(spark, folder or f"{shared_dir(spark)}/passing/{uuid.uuid4().hex}", language))
     print(HELP)
-    for line in lines:
-        out = session.run(line)
-        if out is None:
-            break
-        print("\n".join(out))
+    try:
+        for line in lines:
+            out = session.run(line)
+            if out is None:
+                break
+            for text in out:
+                print(text)
+    finally:
+        if passing:
+            session.store.files.drop("")
+        spark.stop()
 
 
 if __name__ == "__main__":
-    main(sys.stdin, sys.argv[1] if len(sys.argv) > 1 else "index_data", sys.argv[2] if len(sys.argv) > 2 else None)
+    main(sys.stdin, *sys.argv[1:3])

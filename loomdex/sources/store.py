@@ -1,9 +1,10 @@
-"""A persistent index: Parquet segments, documents and removals under a manifest that is published by one rename.
+"""A persistent index: Parquet segments, documents and removals under a manifest that is published in one step.
 
     <path>/manifest/<version>.json    what a version consists of; the highest version is current
     <path>/postings/<seq>/            (term, doc_id), sorted by term, with a Bloom filter on term
     <path>/documents/<seq>/           doc_id, external_id, title, content
     <path>/removed/<seq>/             ids that are no longer live
+    <path>/steps/<seq>/               external_id, step: the last command of a stream that counted for each external id
 
 Every change writes new folders first and then a manifest that names them, so a reader sees whole versions only and a crash leaves nothing but unnamed
 folders. One writer at a time: publishing fails if another writer has published the same version. Reading fails loudly when a named folder is missing.
@@ -12,8 +13,11 @@ folders. One writer at a time: publishing fails if another writer has published
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ from loomdex.session import cut, spread
 
 #: Bytes that level 0 may hold, and how many times as much each further level.
 LEVEL_BYTES, RATIO = 10 << 20, 4
+#: Kinds of folders.
+KINDS = ("documents", "postings", "removed", "steps")
 _DOCUMENT = "doc_id long, external_id string, title string, content string"
 
 
@@ -45,6 +51,7 @@ class Manifest:
     next_seq: int = 1
     segments: list[Segment] = field(default_factory=list)
     removed: list[int] = field(default_factory=list)
+    steps: list[int] = field(default_factory=list)
 
 
 class StoreError(RuntimeError):
@@ -80,20 +87,31 @@ class Files:
             stream.close()
 
     def publish(self, name: str, text: str) -> None:
-        """Writes beside and renames; fails if the name is taken."""
-        target, beside = self.path(self.root.toString(), name), self.path(self.root.toString(), name + ".tmp")
-        if self.fs.exists(target):
-            raise StoreError(f"{name} has been published by another writer")
-        stream = self.fs.create(beside, True)
+        """Writes beside, under a name of its own, and gives it the wanted name in one step, which fails if the name is taken."""
+        target, beside = self.path(self.root.toString(), name), self.path(self.root.toString(), f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self.fs.create(beside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if not self.fs.rename(beside, target):
-            raise StoreError(f"{name} could not be published")
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                os.link(beside.toUri().getPath(), target.toUri().getPath())
+            else:
+                rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+                context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+                how = self.jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
+                self.jvm.java.lang.reflect.Array.set(how, 0, rename.NONE)
+                context.rename(beside, target, how)
+        except (FileExistsError, Py4JJavaError) as e:
+            if self.fs.exists(target):
+                raise StoreError(f"{name} has been published by another writer") from e
+            raise StoreError(f"{name} could not be published: {e}") from e
+        finally:
+            self.fs.delete(beside, False)
 
     def drop(self, folder: str) -> None:
-        self.fs.delete(self.path(self.root.toString(), folder), True)
+        self.fs.delete(self.path(self.root.toString(), folder) if folder else self.root, True)
 
 
 class IndexStore:
@@ -134,12 +152,16 @@ class IndexStore:
 
     def _next_seq(self) -> int:
         """A number no folder has, be it one that a crash has left unnamed."""
-        there = [int(n) for kind in ("documents", "postings", "removed") for n in self.files.names(kind) if n.isdigit()]
+        there = [int(n) for kind in KINDS for n in self.files.names(kind) if n.isdigit()]
         return max([self.manifest.next_seq, *(n + 1 for n in there)])
 
     def removed(self) -> DataFrame:
         return self._read("removed", self.manifest.removed, "doc_id long").distinct()
 
+    def steps(self) -> DataFrame:
+        """(external_id, step) of the last command of each external id that came from a stream."""
+        return self._read("steps", self.manifest.steps, "external_id string, step long").groupBy("external_id").agg(F.max("step").alias("step"))
+
     def documents(self) -> DataFrame:
         """Live documents of this version."""
         return self._read("documents", self._seqs(), _DOCUMENT).join(self.removed(), "doc_id", "left_anti")
@@ -147,53 +169,74 @@ class IndexStore:
     def index(self) -> SearchIndex:
         """A snapshot of this version; later changes don't show in it."""
         docs = self.documents()
-        return SearchIndex(docs, self._read("postings", self._seqs(), "term string, doc_id long"), document_terms(docs, self.manifest.language, self.manifest.stemmed), self.manifest.language, self.manifest.stemmed)
+        return SearchIndex(docs, self._read("postings", self._seqs(), "term string, doc_id long"), document_terms(docs, self.manifest.language, self.manifest.stemmed), self.manifest.language, self.manifest.stemmed, self.removed() if self.manifest.removed else None)
 
-    def _write(self, docs: DataFrame, seq: int, level: int) -> Segment:
+    def _write(self, docs: DataFrame, seq: int, level: int, posts: DataFrame | None = None) -> Segment:
+        """A segment of documents and their postings, which are worked out from the written texts unless given."""
         docs.write.parquet(f"{self.root}/documents/{seq}")
         written = self._read("documents", [seq], _DOCUMENT)
-        posts = cut(postings(document_terms(spread(written), self.manifest.language, self.manifest.stemmed)))  # read twice, once to find the ranges
+        if posts is None:
+            posts = cut(postings(document_terms(spread(written), self.manifest.language, self.manifest.stemmed)))  # read twice, once to find the ranges
         posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/postings/{seq}")
         return Segment(seq, level, self.files.size(f"postings/{seq}"), written.count())
 
-    def add(self, batch: DataFrame, order: list | None = None) -> None:
-        """Adds documents (external_id, title, content), each replacing the live one of its external id.
+    def change(self, adds: DataFrame, order: list | None = None, removes: DataFrame | None = None, steps: DataFrame | None = None) -> None:
+        """Adds documents (external_id, title, content) and removes those of other external ids (external_id), as one version.
 
-        `order` lists the columns by which a batch is ordered; each row takes the next id, and of rows with one external id the last stays.
-        NULL external id, title or content is the empty text. An empty batch changes nothing.
+        `order` lists the columns by which the adds are ordered; each row takes the next id, and of rows with one external id the last stays, unless
+        it is among the removes. Every live document of an external id that is added or removed goes. NULL external id, title or content is the empty text;
+        unknown ids to remove are no error. `steps` (external_id, step) is kept for streams. Without any rows nothing is published.
         """
         m, seq = self.manifest, self._next_seq()
         order = order or ["external_id", "title", "content"]
-        clean = batch.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("external_id", "title", "content")], *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
-        numbered = cut(with_ids(clean, [f"__o{i}" for i in range(len(order))], m.next_doc_id).select("doc_id", "external_id", "title", "content"))
+        clean = adds.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("external_id", "title", "content")], *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+        numbered = with_ids(clean, [f"__o{i}" for i in range(len(order))], m.next_doc_id).select("doc_id", "external_id", "title", "content")
         count = numbered.count()
-        if not count:
+        gone = removes.select(F.coalesce("external_id", F.lit("")).alias("external_id")).distinct() if removes is not None else None
+        if not count and (gone is None or gone.isEmpty()):
             return
         last = numbered.groupBy("external_id").agg(F.max("doc_id").alias("doc_id"))
-        kept = numbered.join(last.select("doc_id"), "doc_id", "left_semi")
-        old = self.documents().join(last.select("external_id"), "external_id", "left_semi").select("doc_id")
+        replaced = last.select("external_id")
+        if gone is not None:
+            last, replaced = last.join(gone, "external_id", "left_anti"), replaced.union(gone)
+        old = self.documents().join(replaced, "external_id", "left_semi").select("doc_id")
         old.write.parquet(f"{self.root}/removed/{seq}")
-        segment = self._write(kept, seq, 0)
-        self._publish(replace(m, next_doc_id=m.next_doc_id + count, next_seq=seq + 1, segments=[*m.segments, segment], removed=[*m.removed, seq]))
+        segments = m.segments
+        if count:
+            segments = [*segments, self._write(numbered.join(last.select("doc_id"), "doc_id", "left_semi"), seq, 0)]
+        if steps is not None:
+            steps.select("external_id", "step").write.parquet(f"{self.root}/steps/{seq}")
+        self._publish(replace(m, next_doc_id=m.next_doc_id + count, next_seq=seq + 1, segments=segments, removed=[*m.removed, seq], steps=m.steps if steps is None else [*m.steps, seq]))
         self._compact_where_due()
 
-    def remove(self, external_ids: DataFrame) -> None:
-        """Removes the documents of the external ids (external_id); unknown ones are no error."""
-        m, seq = self.manifest, self._next_seq()
-        gone = self.documents().join(external_ids.select("external_id"), "external_id", "left_semi").select("doc_id")
-        gone.write.parquet(f"{self.root}/removed/{seq}")
-        self._publish(replace(m, next_seq=seq + 1, removed=[*m.removed, seq]))
+    def add(self, batch: DataFrame, order: list | None = None) -> None:
+        """Adds documents (external_id, title, content), each replacing the live one of its external id; see `change`. An empty batch changes nothing."""
+        self.change(batch, order)
+
+    def remove(self, external_ids: DataFrame) -> DataFrame:
+        """Removes the documents of the external ids (external_id); unknown ones are no error. Gives (external_id, existed), once each."""
+        asked = external_ids.select(F.coalesce("external_id", F.lit("")).alias("external_id")).distinct()
+        there = self.documents().select("external_id").distinct().withColumn("existed", F.lit(True))
+        told = cut(asked.join(there, "external_id", "left").select("external_id", F.coalesce("existed", F.lit(False)).alias("existed")))
+        self.change(self.spark.createDataFrame([], _DOCUMENT), None, told)
+        return told
 
     def compact(self, level: int | None = None) -> None:
-        """Rewrites the segments of a level, or all of them, as one of the next level, without removed documents."""
+        """Merges the segments of a level, or all of them, to one of the next level, without removed documents. No text is analysed again."""
         m, seq = self.manifest, self._next_seq()
         inside = [s for s in m.segments if level is None or s.level == level]
         if not inside:
             return
-        docs = self._read("documents", [s.seq for s in inside if s.documents], _DOCUMENT).join(self.removed(), "doc_id", "left_anti")
-        segment = self._write(docs, seq, 1 + max(s.level for s in inside))
+        seqs, removed = [s.seq for s in inside if s.documents], self.removed()
+        docs = self._read("documents", seqs, _DOCUMENT).join(removed, "doc_id", "left_anti")
+        posts = self._read("postings", seqs, "term string, doc_id long").join(removed, "doc_id", "left_anti")
+        segment = self._write(docs, seq, 1 + max(s.level for s in inside), posts)
         others = [s for s in m.segments if s not in inside]
-        self._publish(replace(m, next_seq=seq + 1, segments=[*others, segment], removed=m.removed if others else []))
+        steps = m.steps
+        if len(steps) > 1:
+            self.steps().write.parquet(f"{self.root}/steps/{seq}")
+            steps = [seq]
+        self._publish(replace(m, next_seq=seq + 1, segments=[*others, segment], removed=m.removed if others else [], steps=steps))
 
     def _compact_where_due(self) -> None:
         while True:
@@ -208,7 +251,7 @@ class IndexStore:
     def vacuum(self) -> None:
         """Deletes folders and manifests that the current version doesn't name. No other reader or writer may be at work."""
         m = self.manifest
-        named = {"documents": {s.seq for s in m.segments}, "postings": {s.seq for s in m.segments}, "removed": set(m.removed)}
+        named = {"documents": {s.seq for s in m.segments}, "postings": {s.seq for s in m.segments}, "removed": set(m.removed), "steps": set(m.steps)}
         for kind, seqs in named.items():
             for name in self.files.names(kind):
                 if int(name) not in seqs:

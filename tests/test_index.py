@@ -81,6 +81,43 @@ def test_sets(spark):
     assert _ids(idsets.from_bitmaps(idsets.bitmap_and(maps, idsets.to_bitmaps(df(100, 40000, 70000))))) == [100, 70000]
 
 
+def test_sets_of_any_ids(spark):
+    rng = random.Random(1)
+    ids = sorted({*(rng.randint(-100_000, 100_000) for _ in range(400)), 0, -1, -32768, -32767, 32768, 2**40, *range(200_000, 205_000)})
+    a = spark.createDataFrame([(i,) for i in [*ids, *ids[:9], None]], "doc_id long")
+    assert _ids(idsets.from_bitmaps(idsets.to_bitmaps(a.where("doc_id is not null")))) == ids == _ids(idsets.from_compressed(idsets.to_compressed(a)))
+    packed = {r["bucket"]: len(r["data"]) for r in idsets.to_compressed(a).collect()}
+    assert packed[7] == 4096 and sum(packed.values()) < 4096 + 2 * len(ids)
+    assert [i for r in idsets.id_arrays(a).collect() for i in r["ids"]] == ids
+    assert idsets.contains(a, 0).first()[0] and not idsets.contains(a, 123_456_789).first()[0]
+    assert not idsets.is_empty(a).first()[0] and idsets.is_empty(a.where("doc_id is null")).first()[0]
+    few = spark.createDataFrame([(1,), (5,)], "doc_id long")
+    assert _ids(idsets.add(few, 10, 5)) == [1, 5, 10] and _ids(idsets.remove(few, 5, 6)) == [1]
+
+
+def test_long_queries(spark):
+    index = _index(spark, ["cats", "dogs", "birds"])
+    long = " OR ".join([f"w{i}" for i in range(10_000)] + ["cats", "bir*"])
+    for plan in ("flags", "relational", "scan"):
+        assert _ids(index.ids(long, plan)) == [1, 3] and _ids(index.ids(f"NOT ({long})", plan)) == [2]
+
+
+def test_decoding_is_linear(spark):
+    import base64
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(n):
+        df = spark.createDataFrame([(base64.b64encode(bytes(4 * n)).decode(),)], "v string").select(F.size(idsets.decode_ids(F.col("v"))))
+        began = time.time()
+        assert df.first()[0] == n
+        return time.time() - began
+
+    took(1000)
+    assert took(80_000) < 20 * max(0.5, took(8000))
+
+
 def test_decode_ids(spark):
     import base64
     import struct

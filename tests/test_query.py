@@ -40,3 +40,11 @@ def test_printed_trees_mean_the_same(tree, there):
     again = parse(str(tree))
     truth = lambda leaf: leaf.text in there
     assert holds(again, truth) == holds(tree, truth) and set(leaves(again)) == set(leaves(tree))
+
+
+def test_long_and_deep_queries():
+    long = parse(" OR ".join(f"w{i}" for i in range(10_000)))
+    assert len(leaves(long)) == 10_000 and str(long).count("(") == 9_999 and holds(long, lambda leaf: leaf.text == "w9999")
+    deep = parse("(a AND " * 3000 + "b" + ")" * 3000)
+    assert holds(deep, lambda leaf: True) and not holds(deep, lambda leaf: leaf.text == "a") and str(deep).startswith("(a AND (a AND")
+    assert str(parse("((a OR b) OR c) AND NOT NOT d")) == "(((a OR b) OR c) AND NOT NOT d)"

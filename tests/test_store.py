@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-from loomdex.cli import Session, add_arguments
+from loomdex.cli import Session, add_arguments, choices
 from loomdex.operators import lsm, mutate
 from loomdex.operators.ids import with_ids
 from loomdex.operators.skew import skew_join
 from loomdex.sources.store import IndexStore, StoreError
-from loomdex.streaming.ingest import ingest
+from loomdex.streaming.ingest import apply_batch, ingest
 
 
 def _docs(spark, *rows):
@@ -57,24 +57,85 @@ def test_history_is_like_a_rebuild(spark, tmp_path):
     assert len(store.manifest.segments) < 4  # compaction took place
 
 
+def _log(spark, *rows):
+    return spark.createDataFrame(list(rows), "step long, op string, external_id string, title string, content string")
+
+
 def test_stream(spark, tmp_path):
-    log = spark.createDataFrame([(1, "add", "a", "", "cats"), (2, "add", "b", "", "dogs"), (3, "remove", "a", None, None), (4, "flush", None, None, None)], "step long, op string, external_id string, title string, content string")
+    log = _log(spark, (1, "add", "a", "", "cats"), (2, "add", "b", "", "dogs"), (3, "remove", "a", None, None), (4, "flush", None, None, None))
     log.write.parquet(f"{tmp_path}/in")
     store = IndexStore(spark, f"file://{tmp_path}/s")
     ingest(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/c").awaitTermination(120)
-    assert sorted(_live(store)) == ["b"]
+    assert _live(store) == {"b": (2, "dogs")} and store.manifest.version == 2 and store.manifest.next_doc_id == 3
+
+
+def test_late_commands_are_as_in_the_replay(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["add", "add", "remove"]), rng.choice("abcd"), "", f"text {i}") for i in range(1, 25)]
+    late = rows[:]
+    rng.shuffle(late)
+    store = IndexStore(spark, f"file://{tmp_path}/s")
+    for at in range(0, len(late), 8):
+        apply_batch(store, _log(spark, *late[at : at + 8]))
+    version = store.manifest.version
+    apply_batch(store, _log(spark, *late[16:]))  # run again after a failure
+    assert store.manifest.version == version
+    want = {r["external_id"]: r["content"] for r in mutate.replay(_log(spark, *rows).selectExpr("*", "timestamp'2024-01-01' as arrived_at")).collect()}
+    assert {k: v for k, (_, v) in _live(store).items()} == want
+    store.compact()
+    apply_batch(store, _log(spark, (0, "add", "a", "", "too late"), (99, "add", "z", None, None)))
+    assert {k: v for k, (_, v) in _live(store).items()} == {**want, "z": ""}
+
+
+def test_remove_tells_what_was_there(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/r")
+    store.add(_docs(spark, ("a", "", "cats"), ("b", "", "cats")), ["at"])
+    told = {r["external_id"]: r["existed"] for r in store.remove(_docs(spark, ("a", "", ""), ("a", "", ""), ("zz", "", ""))).collect()}
+    assert told == {"a": True, "zz": False} and sorted(_live(store)) == ["b"]
+    index = store.index()
+    assert [r["doc_id"] for r in index.ids("cats").collect()] == [2]
+    after, told = index.without(_docs(spark, ("b", "", ""), ("q", "", "")))
+    assert {r["external_id"]: r["existed"] for r in told.collect()} == {"b": True, "q": False}
+    for plan in ("flags", "relational", "scan"):
+        assert after.ids("cats", plan).count() == 0 and after.ids("NOT dogs", plan).count() == 0
+    assert [r["doc_id"] for r in index.ids("cats").collect()] == [2]
+
+
+def test_only_negations_read_the_documents(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/p")
+    store.add(_docs(spark, ("a", "", "cats"), ("b", "", "dogs")), ["at"])
+    store.add(_docs(spark, ("a", "", "birds")), ["at"])
+    plan = lambda q: store.index().ids(q)._jdf.queryExecution().optimizedPlan().toString()
+    reads = lambda q: plan(q).count("Relation [doc_id") + plan(q).count("external_id")
+    assert "external_id" not in plan("cats AND NOT dogs") and plan("cats").count("Relation") == 2 and plan("NOT cats").count("Relation") > 2 and reads("cats") >= 1
+    physical = store.index().ids("cats")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,cat)" in physical
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = IndexStore(spark, f"file://{tmp_path}/w"), IndexStore(spark, f"file://{tmp_path}/w")
+    one.add(_docs(spark, ("a", "", "cats")), ["at"])
+    with pytest.raises(StoreError, match="another writer"):
+        two.add(_docs(spark, ("b", "", "dogs")), ["at"])
+    assert sorted(_live(IndexStore(spark, f"file://{tmp_path}/w"))) == ["a"]
+    assert not [n for n in one.files.names("manifest") if n.endswith(".tmp")]
 
 
 def test_command_line(spark, tmp_path):
     s = Session(spark, IndexStore(spark, f"file://{tmp_path}/c"))
-    assert s.run("add doc1 My Title | some cats") == ["Added document 'doc1' (internal ID: 1)"]
-    assert s.run("q cat") == ["Found 1 document(s):", "  [1] My Title", "      some cats"]
-    assert s.run("search cat dog") == ["Search error: unexpected token at position 1: dog"]
-    assert s.run("search") == ["Usage: search <query>"] and s.run("  ") == [] and s.run("exit") is None
-    assert s.run("ls") == ["Documents in index: 1", "  [1] My Title: some cats"]
-    assert s.run("rm nothing") == ["Removed document 'nothing'"]
-    assert s.run("bogus")[0].startswith("Unknown command") and s.run("help")[0] == "Commands:"
+    run = lambda line: None if (out := s.run(line)) is None else list(out)
+    assert run("add doc1 My Title | some cats") == ["Added document 'doc1' (internal ID: 1)"]
+    assert run("q cat") == ["Found 1 document(s):", "  [1] My Title", "      some cats"] and run("q dog") == ["No documents found"]
+    assert run("search cat dog") == ["Search error: unexpected token at position 1: dog"]
+    assert run("search") == ["Usage: search <query>"] and run("  ") == [] and run("exit") is None
+    assert run("ls") == ["Documents in index: 1", "  [1] My Title: some cats"]
+    assert run("rm nothing") == ["No document 'nothing'"] and run("rm doc1") == ["Removed document 'doc1'"] and run("ls") == ["No documents in index"]
+    assert run("bogus")[0].startswith("Unknown command") and run("help")[0] == "Commands:"
+    assert run("flush")[0].startswith("Nothing to flush") and run("demo")[0].startswith("Loaded") and run("compact") == ["Index compacted"]
+    assert "  document_count: 10" in run("stats") and run("q (cat OR dog) AND NOT summer")[0] == "Found 4 document(s):"
     assert add_arguments("x") is None and add_arguments("x y") == ("x", "", "y") and add_arguments(" x y") == ("", "", "x y")
+    quiet = lambda *_: None
+    assert choices(iter(["2", "", "English"]), quiet) == ("index_data", "english") and choices(iter(["", ""]), quiet) == (None, None) and choices(iter([]), quiet) == (None, None)
 
 
 def test_newest(spark):
