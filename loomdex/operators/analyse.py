@@ -49,7 +49,12 @@ def document_terms(docs: DataFrame, language: str = "mixed", stemmed: bool = Tru
     kept = docs.select(F.col("doc_id").cast("long"), kept_tokens(titled(F.col("title"), F.col("content")), language).alias("terms"))
     if not stemmed:
         return kept.select("doc_id", F.array_distinct("terms").alias("terms"))
-    return kept.mapInArrow(_stemmed, "doc_id long, terms array<string>")
+    return stemmed_terms(kept)
+
+
+def stemmed_terms(terms: DataFrame) -> DataFrame:
+    """(doc_id, terms) with the distinct stems of each row's terms instead, in the order they are first seen."""
+    return terms.select("doc_id", "terms").mapInArrow(_stemmed, "doc_id long, terms array<string>")
 
 
 def postings(terms: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """The engine's own queries over the test tables, and the same results in SQL.
 
-Each query reads its whole tables. SQL has no stemmer, so searches that are compared with it run on an index without stemming; those with it are
-named stemmed_... and have no SQL.
+Each query reads its whole tables. SQL has no stemmer, so most searches that are compared with it run on an index without stemming; those with it are
+named stemmed_... and their SQL lists the words of the stems they ask for. stem_terms alone has no SQL; stem_samples holds the stemmers to published stems.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from contextlib import suppress
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +18,14 @@ from pyspark.sql import functions as F
 from loomdex.functions.stopwords import ENGLISH, RUSSIAN, stop_words
 from loomdex.functions.text import titled, tokens
 from loomdex.operators import idsets, lsm, mutate
-from loomdex.operators.analyse import document_frequencies, kept_tokens
+from loomdex.operators.analyse import document_frequencies, kept_tokens, stemmed_terms
 from loomdex.operators.ids import with_ids
 from loomdex.operators.index import SearchIndex, build_index
-from loomdex.plans.query import parse
+from loomdex.plans.query import QueryError, parse
 from loomdex.session import shared_dir, spread, table
+from loomdex.sources.demo import demo_documents
 from loomdex.sources.store import IndexStore
+from loomdex.streaming.ingest import ingest
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +37,26 @@ def index(spark: SparkSession, sf_dir: str, stemmed: bool = False, language: str
     return build_index(spread(corpus(spark, sf_dir)), language, stemmed)
 
 
+# Words and their stems as published with the stemmers' descriptions.
+PUBLISHED_STEMS = """
+consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist
+consistently consist consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol
+consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson
+consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir
+conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc
+constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee
+kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight
+knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock
+вавиловка вавиловк вагнера вагнер вагон вагон вагона вагон вагоне вагон вагонов вагон вагоном вагон вагоны вагон важная важн важнее важн важнейшие важн
+важнейшими важн важничал важнича важно важн важного важн важное важн важной важн важном важн важному важн важности важност важностию важност
+важность важност важностью важност важную важн важны важн важные важн важный важн важным важн важных важн вазах ваз вазы ваз вакса вакс
+вакханка вакханк вал вал валандался валанда валентина валентин валериановых валерианов валерию валер валетами валет пава пав павел павел
+павильон павильон павильонам павильон павла павл павлиний павлин павлиньи павлин павлиньим павлин павлович павлович павловна павловн
+павловны павловн павловцы павловц павлыч павлыч пагубная пагубн падает пада падай пада падал пада падаль падал падать пада падающий пада
+падеж падеж падение паден падением паден падениях паден
+""".split()
+
+
 # text analysis
 
 
@@ -74,6 +99,12 @@ def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir, stemmed=True).posts.select("doc_id", "term")
 
 
+def stem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published words through the analysis of an index; a table of its own that reads no data."""
+    words = spark.createDataFrame([(i, [w]) for i, w in enumerate(PUBLISHED_STEMS[::2])], "doc_id long, terms array<string>")
+    return words.join(stemmed_terms(words).withColumnRenamed("terms", "stems"), "doc_id").select(F.col("terms")[0].alias("word"), F.col("stems")[0].alias("stem"))
+
+
 # search
 
 
@@ -119,6 +150,43 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "query string, tree string")
 
 
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of queries that can't be parsed; a table of its own that reads no data."""
+
+    def said(query: str) -> str | None:
+        try:
+            parse(query)
+        except QueryError as e:
+            return str(e)
+        return None
+
+    return spark.createDataFrame([(q, said(q)) for q in ("", "cats dogs", "cats)", "(cats", "()", "cats AND", "not", "cats")], "query string, message string")
+
+
+def search_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found documents as the command line lists them."""
+    own = index(spark, sf_dir)
+    return replace(own, documents=own.search("otter AND lantern")).listing(80)
+
+
+def demo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over the demonstration documents, which are no table."""
+    docs = demo_documents(spark).select((F.col("at") + 1).alias("doc_id"), "external_id", "title", "content")
+    return build_index(docs).search("(cat OR dog) AND NOT summer").select("doc_id", "external_id")
+
+
+def removed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search after the documents of some external ids have been removed from the index."""
+    own = index(spark, sf_dir)
+    left, _ = own.without(corpus(spark, sf_dir).where(F.col("title").like("The Book%")))
+    return left.ids("otter OR NOT lantern")
+
+
+def removed_existed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which external ids to remove existed, of all those that the log of commands names."""
+    return index(spark, sf_dir).without(table(spark, sf_dir, "mutations").where("op = 'remove'").select("external_id"))[1]
+
+
 # id sets
 
 
@@ -132,12 +200,34 @@ def set_op(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
 
 
 def bitmap_op(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
-    a, b = (idsets.to_bitmaps(_set(spark, sf_dir, w).where("doc_id > 0")) for w in ("otter", "lantern"))
+    a, b = (idsets.to_bitmaps(_set(spark, sf_dir, w)) for w in ("otter", "lantern"))
     return idsets.from_bitmaps(getattr(idsets, op)(a, b))
 
 
 def bitmap_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return idsets.cardinality(idsets.to_bitmaps(_set(spark, sf_dir, "otter").where("doc_id > 0")))
+    return idsets.cardinality(idsets.to_bitmaps(_set(spark, sf_dir, "otter")))
+
+
+def bitmap_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To compressed sets and back."""
+    return idsets.from_compressed(idsets.to_compressed(_set(spark, sf_dir, "otter")))
+
+
+def set_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idsets.contains(_set(spark, sf_dir, "otter"), 42)
+
+
+def set_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idsets.is_empty(_set(spark, sf_dir, "the"))
+
+
+def set_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ascending ids, written out."""
+    return idsets.id_arrays(_set(spark, sf_dir, "otter")).select("bucket", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids"))
+
+
+def set_add_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idsets.remove(idsets.add(_set(spark, sf_dir, "otter"), -5, 42), 1, 2, 3)
 
 
 def posting_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +270,21 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("external_id").agg(F.max("doc_id").alias("doc_id"))
 
 
-def _store(spark: SparkSession, sf_dir: str) -> IndexStore:
+def _new_store(spark: SparkSession, **kind) -> IndexStore:
+    """An empty store in the shared folder, which is deleted when the process ends, since results are read after the query has returned."""
+    store = IndexStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", **kind)
+
+    def drop() -> None:
+        with suppress(Exception):  # the session may have ended
+            store.files.drop("")
+
+    atexit.register(drop)
+    return store
+
+
+def _store(spark: SparkSession, sf_dir: str, **kind) -> IndexStore:
     """A store of its own in the shared folder, with the documents in two batches, some replaced and some removed."""
-    store = IndexStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", stemmed=False)
+    store = _new_store(spark, stemmed=False, **kind)
     docs = corpus(spark, sf_dir)
     half = F.col("doc_id") % 2
     store.add(docs.where(half == 0), ["doc_id"])
@@ -206,6 +308,23 @@ def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reopened.index().ids("otter AND NOT lantern")
 
 
+def store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels so small that every change compacts."""
+    return _store(spark, sf_dir, level_bytes=1, ratio=2).index().ids("otter AND NOT lantern", "relational")
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).stats().select("document_count", "next_doc_id", "segments")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of commands as a stream into a store: the documents that it leaves."""
+    store = _new_store(spark, stemmed=False)
+    log = spark.readStream.schema(table(spark, sf_dir, "mutations").schema).parquet(f"{sf_dir}/mutations.parquet*")
+    ingest(log, store, f"{store.root}-checkpoint").awaitTermination()
+    return store.documents().select("external_id", "title", "content")
+
+
 #: Name of each search query, with the query, the plan, and its SQL over t(doc_id, term) and u(doc_id).
 _SEARCHES: dict[str, tuple[str, str, str]] = {
     "term": ("lantern", "flags", "SELECT doc_id FROM t WHERE term = 'lantern'"),
@@ -238,6 +357,7 @@ QUERIES = {
     "term_kgrams": term_kgram_rows,
     "kgram_candidates": kgram_candidates,
     "stem_terms": stem_terms,
+    "stem_samples": stem_samples,
     "doc_count": doc_count,
     "universe": universe,
     "raw_term": raw_term,
@@ -246,6 +366,11 @@ QUERIES = {
     "stats": stats,
     "listing": listing,
     "parsed": parsed,
+    "parse_errors": parse_errors,
+    "search_listing": search_listing,
+    "demo_search": demo_search,
+    "removed_search": removed_search,
+    "removed_existed": removed_existed,
     **{name: partial(search, query=q, plan=plan) for name, (q, plan, _) in _SEARCHES.items()},
     "stopword_term_empty": partial(search_count, query="the"),
     "punctuated_term_empty": partial(search_count, query="one-two"),
@@ -260,6 +385,11 @@ QUERIES = {
     "bitmap_and": partial(bitmap_op, op="bitmap_and"),
     "bitmap_or": partial(bitmap_op, op="bitmap_or"),
     "bitmap_cardinality": bitmap_cardinality,
+    "bitmap_compressed": bitmap_compressed,
+    "set_contains": set_contains,
+    "set_is_empty": set_is_empty,
+    "set_arrays": set_arrays,
+    "set_add_remove": set_add_remove,
     "posting_decode": posting_decode,
     "segment_merge": segment_merge,
     "point_get": point_get,
@@ -270,6 +400,9 @@ QUERIES = {
     "store_documents": store_documents,
     "store_search": store_search,
     "store_compacted": store_compacted,
+    "store_levels": store_levels,
+    "store_stats": store_stats,
+    "stream_ingest": stream_ingest,
 }
 
 
@@ -328,9 +461,27 @@ SQL = {
     "set_unite": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a UNION SELECT doc_id FROM b",
     "set_subtract": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b",
     "set_complement": f"WITH {_T}, {_PAIR} SELECT doc_id FROM u EXCEPT SELECT doc_id FROM a",
-    "bitmap_and": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a WHERE doc_id > 0 INTERSECT SELECT doc_id FROM b",
-    "bitmap_or": f"WITH {_T}, {_PAIR} SELECT doc_id FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b) WHERE doc_id > 0",
-    "bitmap_cardinality": f"WITH {_T}, {_PAIR} SELECT count(*) AS cardinality FROM a WHERE doc_id > 0",
+    "bitmap_and": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b",
+    "bitmap_or": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a UNION SELECT doc_id FROM b",
+    "bitmap_cardinality": f"WITH {_T}, {_PAIR} SELECT count(*) AS cardinality FROM a",
+    "bitmap_compressed": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a",
+    "set_contains": f"WITH {_T}, {_PAIR} SELECT count(*) > 0 AS contains FROM a WHERE doc_id = 42",
+    "set_is_empty": f"WITH {_T} SELECT count(*) = 0 AS is_empty FROM t WHERE term = 'the'",
+    "set_arrays": f"WITH {_T}, {_PAIR} SELECT CASE WHEN doc_id > 0 THEN 1 + (doc_id - 1) // 32768 ELSE -((-doc_id) // 32768) END AS bucket, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM a GROUP BY 1",
+    "set_add_remove": f"WITH {_T}, {_PAIR} SELECT doc_id FROM a WHERE doc_id NOT IN (1, 2, 3) UNION SELECT unnest([-5, 42]) AS doc_id",
+    "stem_samples": f"SELECT * FROM (VALUES {', '.join(f"('{w}', '{x}')" for w, x in zip(PUBLISHED_STEMS[::2], PUBLISHED_STEMS[1::2], strict=True))}) AS v(word, stem)",
+    "stemmed_term": f"WITH {_T} SELECT DISTINCT doc_id FROM t WHERE term IN ('repair', 'repairs', 'repaired', 'repairing')",
+    "stemmed_term_cyrillic": f"WITH {_T} SELECT DISTINCT doc_id FROM t WHERE term IN ('гуси', 'гуся', 'гусю', 'гусем', 'гусе', 'гусей', 'гусям', 'гусями', 'гусях', 'тетрадь', 'тетради', 'тетрадью', 'тетрадей', 'тетрадям', 'тетрадями', 'тетрадях')",
+    "stemmed_prefix": f"WITH {_T} SELECT DISTINCT doc_id FROM t WHERE starts_with(term, 'repair')",
+    "stemmed_and_not": f"WITH {_T} SELECT doc_id FROM t WHERE term IN ('otter', 'otters') EXCEPT SELECT doc_id FROM t WHERE term IN ('lantern', 'lanterns', 'lanterne')",
+    "parse_errors": """SELECT * FROM (VALUES ('', 'empty query'), ('cats dogs', 'unexpected token at position 1: dogs'), ('cats)', 'unexpected token at position 1: )'), ('(cats', 'expected closing parenthesis'),
+      ('()', 'expected closing parenthesis'), ('cats AND', 'unexpected end of query'), ('not', 'unexpected end of query'), ('cats', NULL)) AS v(query, message)""",
+    "search_listing": f"""WITH {_T} SELECT doc_id, CASE WHEN coalesce(title, '') = '' THEN '(no title)' ELSE title END AS title, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS content
+      FROM documents WHERE doc_id IN (SELECT doc_id FROM t WHERE term = 'otter') AND doc_id IN (SELECT doc_id FROM t WHERE term = 'lantern')""",
+    "demo_search": "SELECT * FROM (VALUES (1::BIGINT, 'doc1'), (3, 'doc3'), (8, 'doc8'), (10, 'doc10')) AS v(doc_id, external_id)",
+    "removed_search": f"""WITH {_T}, left_ AS (SELECT doc_id FROM documents WHERE coalesce(external_id, '') NOT IN (SELECT coalesce(external_id, '') FROM documents WHERE title LIKE 'The Book%'))
+      SELECT doc_id FROM left_ WHERE doc_id IN (SELECT doc_id FROM t WHERE term = 'otter') OR doc_id NOT IN (SELECT doc_id FROM t WHERE term = 'lantern')""",
+    "removed_existed": "SELECT DISTINCT coalesce(external_id, '') AS external_id, coalesce(external_id, '') IN (SELECT coalesce(external_id, '') FROM documents) AS existed FROM mutations WHERE op = 'remove'",
     "posting_decode": f"SELECT row_id, unnest({_IDS}) AS doc_id FROM segments WHERE kv_value IS NOT NULL",
     "segment_merge": f"WITH {_NEWEST} SELECT kv_key, kv_value, row_id FROM n",
     "point_get": f"WITH {_NEWEST} SELECT kv_key, kv_value, row_id FROM n WHERE kv_key = 'goose'",
@@ -340,8 +491,14 @@ SQL = {
 WITH m AS (SELECT step, op, coalesce(external_id, '') AS external_id, title, content FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY arrived_at) AS r FROM mutations) WHERE r = 1 AND op IN ('add', 'remove')),
 a AS (SELECT *, CASE WHEN op = 'add' THEN sum(CASE WHEN op = 'add' THEN 1 ELSE 0 END) OVER (ORDER BY step) END::BIGINT AS doc_id, row_number() OVER (PARTITION BY external_id ORDER BY step DESC) AS r FROM m)
 SELECT doc_id, external_id, coalesce(title, '') AS title, coalesce(content, '') AS content FROM a WHERE r = 1 AND op = 'add'""",
+    "stream_ingest": """
+WITH m AS (SELECT step, op, coalesce(external_id, '') AS external_id, title, content FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY arrived_at) AS r FROM mutations) WHERE r = 1 AND op IN ('add', 'remove')),
+a AS (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY step DESC) AS r FROM m)
+SELECT external_id, coalesce(title, '') AS title, coalesce(content, '') AS content FROM a WHERE r = 1 AND op = 'add'""",
     "upsert": "SELECT external_id, max(n) AS doc_id FROM (SELECT coalesce(external_id, '') AS external_id, row_number() OVER (ORDER BY doc_id) AS n FROM doc_store) GROUP BY external_id",
     "store_documents": f"WITH {_STORE} SELECT doc_id, external_id, title, content FROM live",
     "store_search": _STORE_SEARCH,
     "store_compacted": _STORE_SEARCH,
+    "store_levels": _STORE_SEARCH,
+    "store_stats": f"WITH {_STORE} SELECT (SELECT count(*) FROM live) AS document_count, (SELECT count(*) + 1 FROM documents) AS next_doc_id, 2::INT AS segments",
 }
