@@ -20,12 +20,14 @@ from functools import lru_cache
 _CYRILLIC, _LATIN_C = "АВЕЅІЈКМНОРСТУХаеѕіјорсух", "ABESIJKMHOPCTYXaesijopcyx"
 _GREEK, _LATIN_G = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρυγχ", "ABEZHIKMNOPTYXoavipuyx"
 # Rare letters that are read as the Latin ones wherever they stand.
-_RARE, _LATIN_R = "ԁһԛԝӏԌԚԜϲϳϹՕօᴏ", "dhqwlGQWcjCOoo"
+_RARE, _LATIN_R = "ԁһԛԝӏԌԚԜϲϳϹՕօᴏɑɡⲞⲟⲢⲣⲤⲥⲦⲎⲒⲔⲘⲚⲨⲬ", "dhqwlGQWcjCOooagOoPpCcTHIKMNYX"
+_CHEROKEE, _LATIN_K = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏏᏔᏙᏚᏞᏟᏢᏦ", "DRTAJEWMHGZbWVSLCPK"
+_LISU, _LATIN_S = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"
 # Format characters that can be seen, and letters and marks that can't.
 _SEEN_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 _UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 _KEPT_CONTROLS = {0x9, 0xA, 0xB, 0xC, 0xD, 0x85}
-_TAGS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
+_TAGS = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<font>"}
 _COMPAT = re.compile("LIGATURE|MICRO SIGN|ROMAN NUMERAL|LETTER (DZ|LJ|NJ)|LETTER [DLN] WITH SMALL LETTER")
 
 
@@ -57,7 +59,7 @@ def _foldings() -> tuple[dict[int, str], set[int], set[int]]:
                 check.add(int(parts[1], 16))  # may compose with what stands before it
         elif parts[0] in _TAGS or (parts[0] == "<compat>" and _COMPAT.search(unicodedata.name(ch, ""))):
             fold[code] = unicodedata.normalize("NFKC", ch)
-    for rare, latin in zip(_RARE, _LATIN_R, strict=True):
+    for rare, latin in zip(_RARE + _CHEROKEE + _LISU, _LATIN_R + _LATIN_K + _LATIN_S, strict=True):
         fold[ord(rare)] = latin
     return fold, check, marks
 

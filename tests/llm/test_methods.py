@@ -167,6 +167,21 @@ def test_lookalike_pairs(spark):
     assert got == {(1, 2), (2, 3), (1, 5), (3, 5), (2, 5)}
 
 
+def test_lookalike_pairs_of_a_hot_look(spark):
+    """Two spellings, one of them 3,000 times, and a look with many spellings: against brute force, in small blocks too."""
+    rows = [(i, "The Book" if i % 1000 else "Тhe Book", "x") for i in range(1, 3001)] + [(9000 + i, "cope" if not i else "".join(c if i >> k & 1 else d for k, (c, d) in enumerate(zip("соре", "cope"))), "y") for i in range(16)]
+    docs = spark.createDataFrame([*rows, (None, "Тhe Book", "x")], "doc_id long, title string, content string")
+    want = {(min(a, b), max(a, b)) for a in (1000, 2000, 3000) for b in range(1, 3001) if b % 1000} | {(9000 + i, 9000 + j) for i in range(16) for j in range(i + 1, 16)}
+    for block, fan in ((256, 1024), (16, 4)):
+        got = [tuple(r) for r in p4_lookalike.lookalike_pairs(docs, block, fan).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("text,want", [("ɑpple", "apple"), ("ɡoose", "goose"), ("𝐁𝐨𝐨𝐤", "Book"), ("Ꭺ", "A"), ("ꓮ", "A"), ("Ⲟ", "O")])
+def test_letters_of_rare_scripts(text, want):
+    assert normal_form(text) == want
+
+
 def test_language_held_out(spark, data):
     rows = [(r["lang"], r["sample_text"]) for r in spark.read.parquet(f"{data}/lang_samples.parquet").orderBy("sample_id").collect()]
     langs = sorted({x for x, _ in rows})
