@@ -102,5 +102,26 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.join(used, "source", "left").select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / total).alias("reached_share"), "tokens", "documents", "most_repeats", "max_repeats")
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+#: How far a reached share may be from its target in p8_violations.
+NEAR = 0.02
+
+
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a right mixture has none of: documents used too often, twice listed, unknown, of a source without a target, and shares that are off."""
+    targets, docs = table(spark, sf_dir, "mix_targets"), table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("own"))
+    used = cut(mixture(table(spark, sf_dir, "documents"), targets))
+    against = used.join(docs, "doc_id", "left").join(targets, "source", "left")
+    wrong = against.agg(
+        F.sum((~(F.col("repeats") <= F.col("max_repeats")) | (F.col("repeats") < 1)).cast("int")).alias("repeats"),
+        (F.count("*") - F.count_distinct("doc_id")).alias("twice"),
+        F.sum((~F.col("own").eqNullSafe(F.col("source"))).cast("int")).alias("unknown"),
+        F.sum(F.col("target_share").isNull().cast("int")).alias("no target"),
+    )
+    rows = wrong.select(F.explode(F.create_map(*[x for c in wrong.columns for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long"))])).alias("rule", "violations"))
+    off = p8_shares(spark, sf_dir).agg(F.sum((F.abs(F.col("reached_share") - F.col("target_share")) > NEAR).cast("int")).cast("long").alias("violations"))
+    return rows.unionByName(off.select(F.lit("share").alias("rule"), "violations"))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_violations": p8_violations}
+#: Rules that every mixture keeps; the mixture itself has no SQL.
+SQL = {"p8_violations": "SELECT rule, 0::BIGINT AS violations FROM (VALUES ('repeats'), ('twice'), ('unknown'), ('no target'), ('share')) AS v(rule)"}
