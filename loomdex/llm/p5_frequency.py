@@ -33,7 +33,9 @@ def frequencies(docs: DataFrame, segments: DataFrame) -> DataFrame:
     NULL title or content is empty; NULL keys aren't counted, though their rows count for the share; empty tables give no rows.
     """
     doc = marked(term_counts(spread(docs.select("title", "content")), doc_tokens()), docs.count(), COMMON_DOC)
-    kv = marked(term_counts(segments, F.array("kv_key")), segments.count(), COMMON_KV)
+    # a record has one key at most, so each occurrence is last seen in another record
+    keys = segments.where(F.col("kv_key").isNotNull()).groupBy(F.col("kv_key").alias("term")).agg(F.count("*").alias("occurrences"))
+    kv = marked(keys.withColumn("records", F.col("occurrences")), segments.count(), COMMON_KV)
     return doc.select(F.lit("doc").alias("field"), "*").unionByName(kv.select(F.lit("kv").alias("field"), "*"))
 
 
