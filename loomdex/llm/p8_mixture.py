@@ -102,12 +102,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.join(used, "source", "left").select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / total).alias("reached_share"), "tokens", "documents", "most_repeats", "max_repeats")
 
 
-#: How far a reached share may be from its target in p8_violations.
-NEAR = 0.02
-
-
 def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a right mixture has none of: documents used too often, twice listed, unknown, of a source without a target, and shares that are off."""
+    """What a right mixture has none of: documents used too often, twice listed, unknown, of a source without a target, and shares that are off
+    by more than two of the longest texts used; the targets of sources without texts are spread over the others."""
     targets, docs = table(spark, sf_dir, "mix_targets"), table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("own"))
     used = cut(mixture(table(spark, sf_dir, "documents"), targets))
     against = used.join(docs, "doc_id", "left").join(targets, "source", "left")
@@ -118,7 +115,11 @@ def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("target_share").isNull().cast("int")).alias("no target"),
     )
     rows = wrong.select(F.explode(F.create_map(*[x for c in wrong.columns for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long"))])).alias("rule", "violations"))
-    off = p8_shares(spark, sf_dir).agg(F.sum((F.abs(F.col("reached_share") - F.col("target_share")) > NEAR).cast("int")).cast("long").alias("violations"))
+    longest, total = used.agg(F.max("tokens"), F.sum(F.col("tokens") * F.col("repeats"))).first()
+    per = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).join(targets, "source")
+    whole = per.agg(F.sum("target_share")).first()[0] or 1.0  # over one row per source
+    far = F.abs(F.col("n") - F.col("target_share") / whole * (total or 0)) > 2 * (longest or 0)
+    off = per.agg(F.coalesce(F.sum(far.cast("long")), F.lit(0)).alias("violations"))
     return rows.unionByName(off.select(F.lit("share").alias("rule"), "violations"))
 
 
