@@ -109,12 +109,14 @@ def _counts(packed: DataFrame, kept_fill: float) -> DataFrame:
 def pack_items(items: DataFrame, cell: int = CELL, kept_fill: float = KEPT_FILL) -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """(container, capacity, doc_id, part, tokens, bin, fill) of items no larger than their capacity, and figures of each container.
 
-    (doc_id, part) is unique per container. A container ends where one cell holds what is left of it, or where a round saves no bin against what the round
-    before had left, whose bins then stand; each goes on or ends by itself. Figures: rounds, cells packed, cells in which the genetic
+    (doc_id, part) is unique per container. A container ends where one cell holds what is left of it. Where a round saves no bin against what the round
+    before had left, those bins stand, and only bins at most half full go on, of which any two go together; where a round of these saves none either
+    (they hold more empty items than a cell has) the container ends too. Each container goes on or ends by itself. Figures: rounds, cells packed, cells in which the genetic
     algorithm ran (all with two open bins or more; in others nothing can be gained), and the bins that it saved against best fit in the same cells.
     """
     done: list[DataFrame] = []
     rest, before, round_no = items, {}, 0
+    merging: set[str] = set()
     figures: dict[str, dict[str, int]] = {}
     while True:
         left = {r["container"]: r["n"] for r in rest.groupBy("container").agg(F.count("*").alias("n")).collect()}  # a row per container
@@ -132,13 +134,13 @@ def pack_items(items: DataFrame, cell: int = CELL, kept_fill: float = KEPT_FILL)
             for k, n in (("rounds", 1), ("cells", first[c]["cells"]), ("cells_evolved", first[c]["open_cells"]), ("bins_saved", first[c]["bins"] - r["bins"])):
                 own[k] += n
         stuck = sorted(c for c in now if c in before and now[c]["bins"] >= before[c])
-        ends = sorted(c for c in now if cells[c] == 1 and c not in stuck)
-        if stuck:
-            done.append(rest.where(F.col("container").isin(stuck)).select(*_ITEM, "bin", "fill"))
-        going = packed.where(~F.col("container").isin(stuck)) if stuck else packed
-        full = (F.col("fill") >= kept_fill) | F.col("container").isin(ends)
-        done.append(going.where(full).select(*_ITEM, "bin", "fill"))
-        rest = going.where(~full)
+        ends = sorted({c for c in now if cells[c] == 1 and c not in stuck} | (merging & set(stuck)))
+        merging |= set(stuck)
+        # where a round saved nothing, what it had been given stands
+        went = packed.where(~F.col("container").isin(stuck)).unionByName(rest.where(F.col("container").isin(stuck))) if stuck else packed
+        least = F.when(F.col("container").isin(ends), 0.0).when(F.col("container").isin(sorted(merging)), 0.5000001).otherwise(kept_fill)
+        done.append(went.where(F.col("fill") >= least).select(*_ITEM, "bin", "fill"))
+        rest = went.where(F.col("fill") < least)
         before = {r["container"]: r["n"] for r in rest.groupBy("container").agg(F.count_distinct("cell", "bin").alias("n")).collect()}
         round_no += 1
     return reduce(DataFrame.unionByName, done), figures
