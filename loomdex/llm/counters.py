@@ -50,14 +50,20 @@ def term_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return part.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def _per_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms, codes, record, length = _stream(batch.column(1))
-        pair, tf = np.unique(record.astype(np.int64) * max(1, len(terms)) + codes, return_counts=True)
-        row, code = np.divmod(pair, max(1, len(terms)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms.cast(pa.string()).take(pa.array(code)), pa.array(tf), pa.array(length[row])], ["id", "term", "tf", "length"])
+        pair, tf = np.unique(codes.astype(np.int64) * max(1, len(length)) + record, return_counts=True)
+        code, row = np.divmod(pair, max(1, len(length)))
+        records = np.bincount(code, minlength=len(terms))
+        ends = pa.array(np.append(0, np.cumsum(records)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (batch.column(0).take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(length[row].astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(terms))), pa.array(records), *lists], ["term", "occurrences", "records", "id", "tf", "length"])
 
 
 def record_terms(df: DataFrame, record_id: str, tokens: Column) -> DataFrame:
-    """(id, term, tf, length) for each record and each of its terms; `length` is the record's number of tokens. Needs no shuffle."""
-    return df.select(F.col(record_id).cast("long").alias("id"), tokens.alias("tokens")).mapInArrow(_per_record, "id long, term string, tf long, length long")
+    """(term, occurrences, records, id, tf, length) for each term of each Arrow batch of records; the last three are arrays with one value for
+    each record that holds the term, `length` being the record's number of tokens. So a term is written once a batch, not once a record, and no
+    array is longer than a batch. Needs no shuffle.
+    """
+    return df.select(F.col(record_id).cast("long").alias("id"), tokens.alias("tokens")).mapInArrow(_by_term, "term string, occurrences long, records long, id array<long>, tf array<int>, length array<int>")

@@ -7,7 +7,7 @@ record than in the rest of the collection, negative where it is less frequent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.counters import record_terms
@@ -17,7 +17,7 @@ from loomdex.session import cut, spread, table
 
 
 def log_likelihood_ratio(tf: Column, length: Column, cf: Column, total: int) -> Column:
-    """Signed G of the contingency table, rounded to three digits; 0 where the record is the whole collection."""
+    """Signed G of the contingency table, rounded to three digits; 0 where the record is the whole collection, NULL where the counts make no table."""
     n = F.lit(float(total))
     a, b, c = tf.cast("double"), (cf - tf).cast("double"), (length - tf).cast("double")
     d = n - length - cf + tf
@@ -27,22 +27,23 @@ def log_likelihood_ratio(tf: Column, length: Column, cf: Column, total: int) ->
 
     g = 2 * (part(a, cf, length) + part(b, cf, n - length) + part(c, n - cf, length) + part(d, n - cf, n - length))
     sign = F.when(a * (n - length) < b * length, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.round(sign * F.greatest(g, F.lit(0.0)), 3)
+    return F.when((a > 0) & (b >= 0) & (c >= 0) & (d >= 0), F.round(sign * F.greatest(g, F.lit(0.0)), 3))
 
 
 def distinctive_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, df, llr) for each row of `docs` and each of its terms.
 
     df is the number of rows that hold the term. NULL title or content is empty; a row without terms gives none; equal rows are different
-    records; an empty table gives no rows. Collection totals are joined to the rows by term: terms found in at least a thousandth of all
-    pairs are few and their rows are salted (skew_join), the rest are joined as they are.
+    records; an empty table gives no rows. Collection totals are joined by term to the terms of each batch, whose records are spread out only then:
+    terms found in at least a thousandth of all pairs are few and their batches are salted (skew_join), the rest are joined as they are.
     """
     docs = spread(docs.select("doc_id", "title", "content"))
-    pairs = record_terms(docs, "doc_id", doc_tokens())
-    totals = cut(pairs.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
+    groups = record_terms(docs, "doc_id", doc_tokens())
+    totals = cut(groups.groupBy("term").agg(F.sum("occurrences").alias("cf"), F.sum("records").alias("df")))
     tokens, weight = totals.agg(F.coalesce(F.sum("cf"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
-    joined = skew_join(pairs, totals, ["term"], "df", weight, F.col("id"))
-    return joined.select(F.col("id").alias("doc_id"), "term", "tf", "df", log_likelihood_ratio(F.col("tf"), F.col("length"), F.col("cf"), tokens).alias("llr"))
+    joined = skew_join(groups.select("term", "id", "tf", "length"), totals, ["term"], "df", weight, F.col("id"))
+    pairs = joined.select("term", "cf", "df", F.inline(F.arrays_zip("id", "tf", "length"))).withColumns({c: F.col(c).cast("long") for c in ("tf", "length")})
+    return pairs.select(F.col("id").alias("doc_id"), "term", "tf", "df", log_likelihood_ratio(F.col("tf"), F.col("length"), F.col("cf"), tokens).alias("llr"))
 
 
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +51,10 @@ def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that are told by their counts alone; the score takes part, so that a row it can't be given has none."""
-    return p6_scores(spark, sf_dir).where(F.col("llr").isNotNull() & (F.length("term") >= 4) & (F.col("tf") >= 3) & (F.col("df") <= 5)).select("doc_id", "term")
+    """Every pair is scored before any is chosen: no filter passes below the observation, which counts pairs and scores. TESTDATA.md tells the
+    cases by counts alone, so how high a score is chooses none; a pair that can't be scored is none."""
+    scored = p6_scores(spark, sf_dir).observe(Observation(), F.count("*").alias("pairs"), F.count("llr").alias("scored"))
+    return scored.where(F.col("llr").isNotNull() & (F.length("term") >= 4) & (F.col("tf") >= 3) & (F.col("df") <= 5)).select("doc_id", "term")
 
 
 QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores}

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from loomdex.llm import p1_language, p2_seen, p3_copies, p4_lookalike, p7_containers, p9_sentences
+from loomdex.llm import p1_language, p2_seen, p3_copies, p4_lookalike, p6_distinctive, p7_containers, p9_sentences
 from loomdex.llm.counters import last_seen
 from loomdex.llm.cube import flight, landing
 from loomdex.llm.golomb import GolombSet, GrowingGolombSet
@@ -96,6 +97,23 @@ def test_last_seen(records):
     assert in_records.tolist() == [sum(t in r for r in records) for t in range(6)]
 
 
+def test_every_pair_is_scored_before_any_is_chosen(spark, data, monkeypatch):
+    score = p6_distinctive.log_likelihood_ratio
+    monkeypatch.setattr(p6_distinctive, "log_likelihood_ratio", lambda tf, *counts: F.when(tf == 1, F.raise_error("scored").cast("double")).otherwise(score(tf, *counts)))
+    with pytest.raises(Exception, match="scored"):
+        p6_distinctive.p6_found(spark, data).collect()  # terms that occur once are never a case
+
+
+def test_no_score_without_a_table(spark, data, monkeypatch):
+    rows = spark.createDataFrame([(2, 10, 8), (2, 10, 1), (2, 1, 8), (2, 10, 95), (2, 10, None), (0, 10, 8)], "tf long, length long, cf long")
+    scores = [r[0] for r in rows.select(p6_distinctive.log_likelihood_ratio(F.col("tf"), F.col("length"), F.col("cf"), 100)).collect()]
+    assert scores[0] > 0 and scores[1:] == [None] * 5
+    found, join = p6_distinctive.p6_found(spark, data).collect(), p6_distinctive.skew_join
+    lost = found[0]["term"]
+    monkeypatch.setattr(p6_distinctive, "skew_join", lambda *a: join(*a).withColumn("cf", F.when(F.col("term") != lost, F.col("cf"))))
+    assert sorted(p6_distinctive.p6_found(spark, data).collect()) == sorted(r for r in found if r["term"] != lost)
+
+
 def test_copies(spark):
     rows = [(1, "A Book", "Grey goose."), (2, "a  book", "GREY​goose"), (3, "Grey goose", "A book!"), (4, "A Book", "grey gosling"), (5, "T", "a: 1; b: 2; c: 3"), (6, "t", "c: 3 | A = 1 | b: 2"), (7, "t", "a: 2; b: 1; c: 3"), (8, "STRASSE", ""), (9, "Straße", None), (10, "café", ""), (11, "café", ""), (12, "x; y", ""), (13, "x: 1; y: 2", "")]
     docs = spark.createDataFrame(rows, "doc_id long, title string, content string")
